@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from gridrel.llm.common import stash, text_key
 
-#: A word is a run of ASCII letters and digits and of characters from U+0080 on.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word is a run of ASCII letters and digits and of characters from U+0080 on.  The class lists
+#: single characters, which the JVM keeps as one bit set; it tests ranges one after another.
+WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Windows up to so many, with their words, go to every task; more are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
@@ -30,8 +31,9 @@ def windows(benchmark: DataFrame, size: int) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, size))).alias("window")).groupBy("window").agg(F.collect_set("item_id").alias("items"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
-    """Verified occurrences: doc_id, th (text_key()), the first word's place at, length, items.
+def _found(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """Verified occurrences: doc_id, th (text_key()), the first word's place at, length, items; and one row
+    without place and items for each row of docs, whose length is its number of words.
 
     A window's words are ordered by how often they occur in all documents, the rarest first.  An
     occurrence contains every word of the window, so the necessary prefix is the rarest word
@@ -39,7 +41,6 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     the window fixes where the occurrence would begin and end, which must lie in the document;
     then the document's words there are compared with the window's.
     """
-    spark = docs.sparkSession
     wins = stash(windows(benchmark, size), "windows")
     few = wins.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     small = F.broadcast if few else (lambda df: df)
@@ -50,16 +51,30 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     ranked = wins.select("window", "items", F.posexplode("window").alias("place", "w")).withColumn("key", F.lower("w")).join(small(counts), "key")
     # a window with a word that no document holds occurs nowhere
     prefix = ranked.groupBy("window", "items").agg(F.count("*").alias("n"), F.min_by(F.struct("key", "place"), F.struct("count", "key", "place")).alias("p")).where(F.col("n") == F.size("window"))
-    prefix = stash(prefix.select(F.col("p.key").alias("key"), F.col("p.place").alias("place"), F.array_join("window", " ").alias("window"), F.size("window").alias("length"), "items"), "prefix")
-    at = docs.select(F.col("doc_id"), text_key().alias("th"), words("text").alias("doc_words"))
+    prefix = prefix.select(F.col("p.key").alias("key"), F.col("p.place").alias("place"), F.array_join("window", " ").alias("window"), F.size("window").alias("length"), "items")
+    # one more key, the empty word, meets the place past the last word of each row of docs
+    whole = docs.sparkSession.range(1).select(F.lit("").alias("key"), *[F.lit(None).cast(t).alias(c) for c, t in (("place", "int"), ("window", "string"), ("length", "int"), ("items", "array<string>"))])
+    prefix = stash(prefix.unionByName(whole), "prefix")
+    at = docs.select(F.col("doc_id"), text_key().alias("th"), F.concat(words("text"), F.array(F.lit(""))).alias("doc_words"))
     # outer: else the words would be extracted once more, for a filter of empty arrays
     at = at.select("doc_id", "th", "doc_words", F.posexplode_outer("doc_words").alias("pos", "w")).withColumn("key", F.lower("w"))
-    begin = F.col("pos") - F.col("place")
-    inside = (begin >= 0) & (begin + F.col("length") <= F.size("doc_words"))
-    found = at.join(small(prefix), "key").where(inside)
+    begin, end = F.col("pos") - F.col("place"), F.col("length")
+    inside = (begin >= 0) & (begin + end < F.size("doc_words"))
     # one string against another: this stays in generated code, so that no row with doc_words is copied
-    same = ascii_lower(F.array_join(F.slice("doc_words", begin + 1, F.col("length")), " ")) == F.col("window")
-    return found.where(same).select("doc_id", "th", begin.alias("at"), "length", "items")
+    same = ascii_lower(F.array_join(F.slice("doc_words", begin + 1, end), " ")) == F.col("window")
+    found = at.join(small(prefix), "key").where(F.col("place").isNull() | (inside & same))
+    return found.select("doc_id", "th", begin.alias("at"), F.coalesce("length", "pos").alias("length"), "items")
+
+
+def _covered(spans: str) -> Column:
+    """Number of places in the union of sorted (at, length) spans."""
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def cover(acc: Column, s: Column) -> Column:
+        end = F.greatest(acc["end"], (s["at"] + s["length"]).cast("long"))
+        return F.struct(end.alias("end"), (acc["n"] + F.greatest(F.lit(0).cast("long"), end - F.greatest(acc["end"], s["at"].cast("long")))).alias("n"))
+
+    return F.aggregate(spans, zero, cover)["n"]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
@@ -70,36 +85,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
     doc_id are judged by their own texts; a null doc_id is an id like others, a null item_id is
     the id "null".  An item that occurs twice, or items of equal text, count each by item_id.
     """
-    spots = hits(docs, benchmark, size)
-    spots = spots.groupBy("doc_id", "th", "at").agg(F.max("length").alias("length"), F.flatten(F.collect_set("items")).alias("items"))
-    grouped = spots.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("at", "length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
-
-    def cover(acc: Column, s: Column) -> Column:
-        end = F.greatest(acc["end"], (s["at"] + s["length"]).cast("long"))
-        return F.struct(end.alias("end"), (acc["n"] + F.greatest(F.lit(0).cast("long"), end - F.greatest(acc["end"], s["at"].cast("long")))).alias("n"))
-
-    grouped = grouped.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.aggregate("spans", zero, cover)["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.concat_ws(",", "items").alias("ids"))
-    rows = docs.select("doc_id", text_key().alias("__th0"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    out = rows.join(grouped, rows["doc_id"].eqNullSafe(F.col("__doc")) & (F.col("__th0") == F.col("__th")), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    spot = F.col("at").isNotNull()
+    grouped = _found(docs, benchmark, size).groupBy("doc_id", "th").agg(
+        F.count_if(~spot).alias("copies"), F.max(F.when(~spot, F.col("length"))).cast("long").alias("n_words"),
+        F.sort_array(F.collect_set(F.when(spot, F.struct("at", "length")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+    out = grouped.select("doc_id", "n_words", _covered("spans").alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    n_hit = F.col("n_hit")
     return out.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
-        F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.col("doc_id").cast("long").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
     """The rows of docs that are not contaminated, with their own columns."""
-    spots = hits(docs, benchmark, size).groupBy("doc_id", "th", "at").agg(F.max("length").alias("length"))
-    spots = spots.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("at", "length"))).alias("spans"))
-    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    found = contamination_keys(docs, benchmark, size, share)
+    bad = found.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__doc")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__th")), "left_anti")
 
-    def cover(acc: Column, s: Column) -> Column:
-        end = F.greatest(acc["end"], (s["at"] + s["length"]).cast("long"))
-        return F.struct(end.alias("end"), (acc["n"] + F.greatest(F.lit(0).cast("long"), end - F.greatest(acc["end"], s["at"].cast("long")))).alias("n"))
 
-    hit = spots.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.aggregate("spans", zero, cover)["n"].alias("__hit"))
-    rows = docs.join(hit, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left")
-    n_words = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0))
-    return rows.where(F.col("__hit").isNull() | (share * F.col("__hit") < n_words)).select(*[docs[c] for c in docs.columns])
+def contamination_keys(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
+    """(doc_id, th) of the contaminated rows."""
+    spot = F.col("at").isNotNull()
+    grouped = _found(docs, benchmark, size).groupBy("doc_id", "th").agg(F.max(F.when(~spot, F.col("length"))).alias("n_words"), F.sort_array(F.collect_set(F.when(spot, F.struct("at", "length")))).alias("spans"))
+    n_hit = _covered("spans")
+    return grouped.where((n_hit > 0) & (share * n_hit >= F.col("n_words"))).select("doc_id", "th")
