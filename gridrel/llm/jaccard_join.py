@@ -167,39 +167,25 @@ def buckets(paths: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of sketch places in which each row of a and each row of b agree."""
-    out = np.zeros((len(a), len(b)), np.int16)
-    for j in range(a.shape[1]):
-        out += a[:, j, None] == b[None, :, j]
-    return out / a.shape[1]
+    return (a[:, None, :] == b[None, :, :]).mean(2)
 
 
 def near(ids: list[bytes], sketches: np.ndarray) -> list[tuple[bytes, bytes]]:
-    """Edges that join all texts of a bucket that may be similar, fewer than one for each pair.
+    """Joins the texts of a bucket that may be similar: one edge from the first text of each joined set to each other.
 
-    Texts that agree with an earlier leader in ALIKE are linked to it and take no further part:
+    Texts that agree with an earlier leader in ALIKE are joined to it and take no further part:
     what is similar to such a text is at most 1 - ALIKE farther from its leader, still above MAYBE.
     """
-    if len(ids) <= 48:
-        a, b = np.nonzero(np.triu(_agree(sketches, sketches) >= MAYBE, 1))
-        root = list(range(len(ids)))
-        edges = []
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            ri, rj = i, j
-            while root[ri] != ri:
-                ri = root[ri]
-            while root[rj] != rj:
-                rj = root[rj]
-            if ri != rj:
-                root[max(ri, rj)] = min(ri, rj)
-                edges.append((ids[i], ids[j]))
-        return edges
-    edges, left = [], np.arange(len(ids))
+    root, left = np.arange(len(ids)), np.arange(len(ids))
     while len(left) > 1:
-        share = _agree(sketches[left[:1]], sketches[left[1:]])[0]
-        close = left[1:][share >= MAYBE]
-        edges += [(ids[left[0]], ids[i]) for i in close]
-        left = left[1:][share < ALIKE]
-    return edges
+        lead, rest = left[0], left[1:]
+        share = _agree(sketches[lead : lead + 1], sketches[rest])[0]
+        for other in np.unique(root[rest[share >= MAYBE]]):
+            if other != root[lead]:
+                old, new = max(other, root[lead]), min(other, root[lead])
+                root[root == old] = new
+        left = rest[share < ALIKE]
+    return [(ids[root[i]], ids[i]) for i in np.flatnonzero(root != np.arange(len(ids)))]
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
