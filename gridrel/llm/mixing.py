@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridrel.llm.common import hash_bucket, stash
+from gridrel.llm.common import blocks_for, shuffle_width, stash
 
 #: Words to a block, slots to an output shard, documents to a bucket of the prefix sums.
 BLOCK, SHARD, BUCKET_DOCS = 32, 16_384, 2_048
@@ -112,6 +112,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0)
     drawn = shards.crossJoin(small(shares)) if few else shards.join(shares, F.lit(True))
     counts = drawn.select("shard", "rank", "n_blocks", (below("hi") - below("lo")).cast("long").alias("n")).where("n > 0")
     counts = counts.withColumn("k0", F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # few rows that stand for many slots: dealt out before they unfold, in more tasks for more slots
+    counts = counts.repartition(max(shuffle_width(spark), blocks_for(n_slots, 1 << 20)), "rank", "shard")
     slots = counts.select("rank", "n_blocks", F.explode(F.sequence("k0", F.col("k0") + F.col("n") - 1)).alias("k")).where(F.col("k") < 2 * F.col("n_blocks"))
     turn = F.floor(F.col("k") / F.col("n_blocks"))
     picks = slots.select("rank", permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.xxhash64(F.lit(seed), "rank", turn)).alias("block"))
