@@ -102,7 +102,7 @@ def tokenise(docs: DataFrame, held_out: Column, v: Vocabulary) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                rows = []
+                rows, tail_words, tail_n = [], [], []
                 for doc, held, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                     ws = tokens(text.as_py())
                     ws.append(END)
@@ -112,8 +112,15 @@ def tokenise(docs: DataFrame, held_out: Column, v: Vocabulary) -> DataFrame:
                     of = {w: n_head + (word_class(w) if w != END else CLASSES) for w in tail}
                     head_log = float(logs[ids].sum())
                     ids[unknown] = [of[ws[i]] for i in unknown]
-                    rows.append((doc, held, ids, [{"word": w, "n": n} for w, n in tail.items() if w != END], len(ws), len(ws) - len(unknown), head_log))
-                yield pa.RecordBatch.from_pydict({f.name: [r[i] for r in rows] for i, f in enumerate(schema)}, schema=schema)
+                    tail.pop(END, None)
+                    tail_words += tail.keys()
+                    tail_n += tail.values()
+                    rows.append((doc, held, ids, len(tail), len(ws), len(ws) - len(unknown), head_log))
+                cols = list(zip(*rows, strict=True))
+                ends = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+                words_n = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_n, pa.int32())], ["word", "n"])
+                lists = {2: pa.ListArray.from_arrays(ends(map(len, cols[2])), pa.array(np.concatenate(cols[2]))), 3: pa.ListArray.from_arrays(ends(cols[3]), words_n)}
+                yield pa.RecordBatch.from_arrays([lists[i] if i in lists else pa.array(c, schema[i].type) for i, c in enumerate(cols)], names=schema.names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKENISED)
 
@@ -143,7 +150,9 @@ def forward_backward(model: Hmm, obs: np.ndarray, mask: np.ndarray, first: np.nd
     move, emit = model.move.astype(np.float32), np.ascontiguousarray(model.emit.T.astype(np.float32))
     share = np.linalg.matrix_power(model.move, 64)[0].astype(np.float32)
     e = emit[obs.T]  # (T, B, K)
-    e[~mask.T] = 1.0
+    whole = mask.all(0)
+    if not whole.all():
+        e[~mask.T] = 1.0
     alpha, scale = np.empty((t_max, b, k), np.float32), np.ones((t_max, b), np.float32)
     now = np.where(first[:, None], model.start.astype(np.float32), share) * e[0]
     for t in range(t_max):
@@ -154,24 +163,24 @@ def forward_backward(model: Hmm, obs: np.ndarray, mask: np.ndarray, first: np.nd
         np.maximum(s, 1e-30, out=s)
         scale[t] = s
         np.divide(now, s[:, None], out=alpha[t])
-    beta = np.ones((b, k), np.float32)
-    moves, gamma = np.zeros((k, k)), np.empty((t_max, b, k), np.float32)
-    gamma[-1] = alpha[-1]
+    beta, back_move = np.ones((b, k), np.float32), np.ascontiguousarray(move.T)
+    # with these scales alpha * beta sums to 1 over the states
+    moves, gamma = np.zeros((k, k)), alpha
     for t in range(t_max - 1, 0, -1):
-        x = e[t] * beta
+        x = e[t]
+        x *= beta
         x /= scale[t][:, None]
-        live = mask[:, t]
-        x[~live] = 0
+        if not whole[t]:
+            x[~mask[:, t]] = 0
         moves += alpha[t - 1].T @ x
-        back = x @ move.T
-        beta = np.where(live[:, None], back, np.float32(1))
-        g = alpha[t - 1] * beta
-        gamma[t - 1] = g
+        back = x @ back_move
+        beta = back if whole[t] else np.where(mask[:, t, None], back, np.float32(1))
+        gamma[t - 1] *= beta
     moves *= move
-    gamma /= np.maximum(gamma.sum(2, keepdims=True), 1e-30)
     on = mask.T
-    flat, weight = obs.T[on], gamma[on]
-    emits = np.stack([np.bincount(flat, weight[:, i], emit.shape[0]) for i in range(k)], 1)
+    flat, weight = (obs.T.ravel(), gamma.reshape(-1, k)) if whole.all() else (obs.T[on], gamma[on])
+    weight = np.ascontiguousarray(weight.T)
+    emits = np.stack([np.bincount(flat, weight[i], emit.shape[0]) for i in range(k)], 1)
     return gamma[0][first].sum(0), moves, emits, float(np.log(scale[on]).sum())
 
 
