@@ -19,7 +19,7 @@ MOST_TOXIC, MOST_CLEAN = 2_000, 6_000
 #: n-grams kept by their chi-square, out of those in at least LEAST_DOCS labelled documents.
 FEATURES, LEAST_DOCS = 4_096, 3
 #: Characters that are hashed at once; a long text takes several turns.
-TURN = 1 << 20
+TURN = 1 << 18
 _SALT = (np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
