@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +20,8 @@ HEAD = 32_768
 #: A class of words: up to eight of length times two of alphabet times four of ending.
 CLASSES = 64
 END = b"\n"  # not a word: words hold no white space
-#: Distinct words that a task counts before it passes them on.
-FLUSH = 200_000
+#: Words that a task holds before it counts them and passes the counts on, and bytes of text split at once.
+HELD_WORDS, TURN = 1 << 22, 1 << 23
 WINDOW, ROWS = 128, 2_048
 #: Tokens of documents that are scored together.
 SCORE_TOKENS = 1 << 20
@@ -29,30 +29,62 @@ SCORE_STEP = 64
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """Words, A-Z in lower case; bytes.lower and bytes.split know ASCII only, as the contract asks."""
+    """Words of one text, as words_of finds them in many."""
     return (text or "").encode().lower().split()
 
 
-def word_class(word: bytes) -> int:
-    length = min(len(word) >> 2, 7)
-    return length << 3 | (not word.isascii()) << 2 | (word[-1] >> 1 & 3)
+def turns(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of rows of at most TURN bytes of text, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TURN, side="right"))
+        yield batch.slice(at, max(upto, at + 1) - at)
+        at = max(upto, at + 1)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts one after another, A-Z in lower case, and the number of each text's.
+
+    The ASCII kernels know A-Z and [\x20\x09-\x0D] only, as the contract asks; a null has no words.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty piece
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    return flat.filter(some), np.bincount(row[some.to_numpy(zero_copy_only=False)], minlength=len(lists))
+
+
+def word_classes(words: pa.Array) -> np.ndarray:
+    """Classes of words that are not empty: of length, alphabet and last byte."""
+    size = pc.binary_length(words).to_numpy().astype(np.int64)
+    if not len(size):
+        return size
+    # the words stand one after another in the buffer
+    first = int(np.frombuffer(words.buffers()[1], np.int32)[words.offset])
+    last = np.frombuffer(words.buffers()[2], np.uint8)[first + np.cumsum(size) - 1].astype(np.int64)
+    foreign = ~pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+    return np.minimum(size >> 2, 7) << 3 | foreign.astype(np.int64) << 2 | (last >> 1 & 3)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
-    seen: Counter = Counter()
+    held: list[pa.Array] = []
+    texts = size = 0
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"word": list(seen.keys()), "c": list(seen.values())}, schema=schema)
+        found = pc.value_counts(pa.chunked_array(held, pa.string()))
+        return pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], names=["word", "c"])
 
     for batch in batches:
-        for text in batch.column(0):
-            seen.update(tokens(text.as_py()))
-            seen[END] += 1
-            if len(seen) > FLUSH:
+        for part in turns(batch, 0):
+            held.append(words_of(part.column(0))[0])
+            texts, size = texts + part.num_rows, size + len(held[-1])
+            if size > HELD_WORDS:
                 yield out()
-                seen.clear()
+                held, size = [], 0
     yield out()
+    if texts:
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([texts], pa.int64())], names=["word", "c"])
 
 
 @dataclass
@@ -73,7 +105,7 @@ def vocabulary(train: DataFrame, head: int = HEAD) -> Vocabulary:
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(head).collect()  # at most `head` words
     ranks = {bytes(r.word): i for i, r in enumerate(top)}
-    # bytes of the word in JVM expressions, as in word_class
+    # bytes of the word in JVM expressions, as in word_classes
     n, last = F.octet_length("word"), F.conv(F.hex(F.substring("word", -1, 1)), 16, 10).cast("int")
     ascii_only = F.octet_length("word") == F.char_length(F.decode("word", "UTF-8"))
     kind = F.shiftleft(F.least(F.shiftright(n, 2), F.lit(7)), 3) + F.when(ascii_only, 0).otherwise(4) + F.shiftright(last, 1).bitwiseAND(3)
@@ -93,34 +125,33 @@ def tokenise(docs: DataFrame, held_out: Column, v: Vocabulary) -> DataFrame:
     """Symbols of whole texts; words without own symbols go along with their numbers (tail)."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((list(v.head), np.log10(v.head_counts + 1)))  # at most HEAD words
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("symbols", pa.list_(pa.int32())), ("tail", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("head_log", pa.float64())])
+    end_rank = v.head.get(END, -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, logs = sent.value
-        ranks, n_head = {w: i for i, w in enumerate(words)}, len(words)
-        logs = np.append(logs, 0.0)
+        heads, n_head = pa.array([w.decode() for w in words], pa.string()), len(words)
+        end = end_rank if end_rank >= 0 else n_head + CLASSES
+        logs = np.append(logs, np.zeros(CLASSES + 1))  # nothing for symbols of classes
+        offsets = lambda sizes: pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                rows, tail_words, tail_n = [], [], []
-                for doc, held, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    ws = tokens(text.as_py())
-                    ws.append(END)
-                    ids = np.fromiter(map(ranks.get, ws, [-1] * len(ws)), np.int32, len(ws))
-                    unknown = np.flatnonzero(ids < 0)
-                    tail = Counter([ws[i] for i in unknown])
-                    of = {w: n_head + (word_class(w) if w != END else CLASSES) for w in tail}
-                    head_log = float(logs[ids].sum())
-                    ids[unknown] = [of[ws[i]] for i in unknown]
-                    tail.pop(END, None)
-                    tail_words += tail.keys()
-                    tail_n += tail.values()
-                    rows.append((doc, held, ids, len(tail), len(ws), len(ws) - len(unknown), head_log))
-                cols = list(zip(*rows, strict=True))
-                ends = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
-                words_n = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_n, pa.int32())], ["word", "n"])
-                lists = {2: pa.ListArray.from_arrays(ends(map(len, cols[2])), pa.array(np.concatenate(cols[2]))), 3: pa.ListArray.from_arrays(ends(cols[3]), words_n)}
-                yield pa.RecordBatch.from_arrays([lists[i] if i in lists else pa.array(c, schema[i].type) for i, c in enumerate(cols)], names=schema.names)
+            for part in turns(batch, 2):
+                found, n = words_of(part.column(2))
+                row = np.repeat(np.arange(len(n)), n)
+                ids = pc.fill_null(pc.index_in(found, value_set=heads), -1).to_numpy(zero_copy_only=False).copy()
+                outside = ids < 0
+                tail = found.filter(pa.array(outside)).dictionary_encode()
+                codes, distinct = tail.indices.to_numpy(), tail.dictionary
+                ids[outside] = n_head + word_classes(distinct)[codes]
+                pairs, times = np.unique(row[outside] * max(len(distinct), 1) + codes, return_counts=True)
+                in_row, word = np.divmod(pairs, max(len(distinct), 1))
+                tails = pa.StructArray.from_arrays([distinct.cast(pa.binary()).take(pa.array(word)), pa.array(times, pa.int32())], ["word", "n"])
+                known = np.bincount(row[~outside], minlength=len(n)) + (end_rank >= 0)
+                head_log = np.bincount(row, logs[ids], len(n)) + logs[end]
+                symbols = np.insert(ids, np.cumsum(n), end).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.ListArray.from_arrays(offsets(n + 1), pa.array(symbols)), pa.ListArray.from_arrays(offsets(np.bincount(in_row, minlength=len(n))), tails), pa.array(n + 1), pa.array(known), pa.array(head_log)],
+                    names=["doc_id", "held_out", "symbols", "tail", "n_tokens", "head_known", "head_log"],
+                )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKENISED)
 
@@ -310,7 +341,8 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int =
 
     forward = done.select("row", "symbols").mapInArrow(run, "row long, hmm double")
     tail = done.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.n").alias("n"))
-    known = tail.join(v.counts, "word").groupBy("row").agg(F.sum("n").alias("tail_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("tail_log"))
+    # the side that is held in memory has distinct words, so its partitions are even
+    known = tail.join(v.counts.hint("shuffle_hash"), "word").groupBy("row").agg(F.sum("n").alias("tail_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("tail_log"))
     out = done.select("row", "doc_id", "held_out", "n_tokens", "head_known", "head_log").join(forward, "row").join(known, "row", "left")
     tail_log = F.coalesce("tail_log", F.lit(0.0))
     base = F.col("head_log") + tail_log - F.col("n_tokens") * float(np.log10(v.total + v.distinct + 1))
