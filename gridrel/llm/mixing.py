@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from gridrel.llm.common import blocks_for, shuffle_width, stash
 
-#: Words to a block, slots to an output shard, documents to a bucket of the prefix sums.
-BLOCK, SHARD, BUCKET_DOCS = 32, 16_384, 2_048
+#: Words to a block, slots to an output shard; documents, and shards, to a bucket of the prefix sums.
+BLOCK, SHARD, BUCKET_DOCS, BUCKET_SHARDS = 32, 16_384, 2_048, 4_096
 #: Sources up to so many are sent to every task; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 #: Rounds of the swap-or-not permutation.
@@ -97,7 +97,6 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0)
     bounds = goals.where("slots > 0").select("rank", "n_blocks", (F.sum("slots").over(upto) / F.sum("slots").over(Window.partitionBy())).alias("hi"), F.col("slots"))
     n_slots = goals.agg(F.ceil(F.coalesce(F.sum("slots"), F.lit(0.0)))).first()[0] or 0
     shares = bounds.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("rank")), F.lit(0.0))).withColumn("hi", F.when(F.lead("rank").over(Window.orderBy("rank")).isNull(), F.lit(2.0)).otherwise(F.col("hi")))
-    shards = spark.range(0, -(-n_slots // shard)).select(F.col("id").alias("shard"), F.least(F.lit(shard).cast("long"), F.lit(n_slots) - F.col("id") * shard).alias("m"))
     # slot i of m draws (i + u_i) / m; u_i by hash: a source's count is that of the whole strata
     # inside its share, and of the two strata at its ends if their draws fall inside
 
@@ -109,9 +108,19 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0)
         stratum = F.floor(F.least(F.col(edge), F.lit(1.0)) * F.col("m"))
         return F.when(F.col(edge) >= 1.0, F.col("m")).otherwise(stratum + F.when((stratum + u(stratum)) / F.col("m") < F.col(edge), 1).otherwise(0))
 
-    drawn = shards.crossJoin(small(shares)) if few else shards.join(shares, F.lit(True))
-    counts = drawn.select("shard", "rank", "n_blocks", (below("hi") - below("lo")).cast("long").alias("n")).where("n > 0")
-    counts = counts.withColumn("k0", F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # each source unfolds into its shards by buckets, dealt out first; a source's prefix sums run inside buckets, then over them
+    n_shards = blocks_for(n_slots, shard)
+    n_buckets = blocks_for(n_shards, BUCKET_SHARDS)
+    deals = shares.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_buckets - 1).cast("long"))))
+    deals = deals.repartition(max(shuffle_width(spark), blocks_for(n_buckets, 16)), "rank", "bucket")
+    upto_shard = F.least((F.col("bucket") + 1) * BUCKET_SHARDS, F.lit(n_shards)) - 1
+    drawn = deals.withColumn("shard", F.explode(F.sequence(F.col("bucket") * BUCKET_SHARDS, upto_shard)))
+    drawn = drawn.withColumn("m", F.least(F.lit(shard).cast("long"), F.lit(n_slots) - F.col("shard") * shard))
+    counts = drawn.select("shard", "bucket", "rank", "n_blocks", (below("hi") - below("lo")).cast("long").alias("n")).where("n > 0")
+    bucket_sums = counts.groupBy("rank", "bucket").agg(F.sum("n").alias("n")).select("rank", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    inside_shards = Window.partitionBy("rank", "bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("local", F.coalesce(F.sum("n").over(inside_shards), F.lit(0))).join(bucket_sums, ["rank", "bucket"])
+    counts = counts.withColumn("k0", F.col("offset") + F.col("local"))
     # few rows that stand for many slots: dealt out before they unfold, in more tasks for more slots
     counts = counts.repartition(max(shuffle_width(spark), blocks_for(n_slots, 1 << 20)), "rank", "shard")
     slots = counts.select("rank", "n_blocks", F.explode(F.sequence("k0", F.col("k0") + F.col("n") - 1)).alias("k")).where(F.col("k") < 2 * F.col("n_blocks"))
