@@ -119,7 +119,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0)
     counts = drawn.select("shard", "bucket", "rank", "n_blocks", (below("hi") - below("lo")).cast("long").alias("n")).where("n > 0")
     bucket_sums = counts.groupBy("rank", "bucket").agg(F.sum("n").alias("n")).select("rank", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     inside_shards = Window.partitionBy("rank", "bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("local", F.coalesce(F.sum("n").over(inside_shards), F.lit(0))).join(bucket_sums, ["rank", "bucket"])
+    counts = counts.withColumn("local", F.coalesce(F.sum("n").over(inside_shards), F.lit(0))).join(bucket_sums.hint("merge"), ["rank", "bucket"])
     counts = counts.withColumn("k0", F.col("offset") + F.col("local"))
     # few rows that stand for many slots: dealt out before they unfold, in more tasks for more slots
     counts = counts.repartition(max(shuffle_width(spark), blocks_for(n_slots, 1 << 20)), "rank", "shard")
@@ -131,5 +131,6 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0)
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     parts = placed.where("size > 0").select("row", "rank", "start", (F.col("start") + F.col("size")).alias("end"), F.explode(F.sequence(first, last)).alias("block"))
     words = F.least(F.col("end"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    taken = parts.join(uses, ["rank", "block"]).groupBy("row").agg(F.sum(words * F.col("uses")).alias("taken"))
-    return placed.join(taken, "row", "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    # tables that grow with the slots or documents, which estimates of unfolded rows take for small ones: never broadcast
+    taken = parts.join(uses.hint("merge"), ["rank", "block"]).groupBy("row").agg(F.sum(words * F.col("uses")).alias("taken"))
+    return placed.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
