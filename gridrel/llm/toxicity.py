@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from gridrel.llm.common import stash
 NGRAMS = (3, 4, 5)
 BITS = 20
 #: Labelled rows that are learnt from, at most: of each class, those whose ids hash lowest.
+#: The intercept is that of all labelled rows, whatever share of each class was taken.
 MOST_TOXIC, MOST_CLEAN = 2_000, 6_000
 #: n-grams kept by their chi-square, out of those in at least LEAST_DOCS labelled documents.
 FEATURES, LEAST_DOCS = 4_096, 3
@@ -64,14 +66,20 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _train_rows(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
-    """(text, toxic) of the labelled training rows, bounded; an id labelled twice counts as its largest label."""
+def _train_rows(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[DataFrame, float]:
+    """(text, toxic) of the labelled training rows, bounded; an id labelled twice counts as its largest label.
+
+    With them the log ratio of the shares taken, toxic over clean, of all labelled ids: what a
+    model of these rows has too much in its log-odds.
+    """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & F.coalesce(train, F.lit(False))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.withColumn("h", F.xxhash64(F.lit(17), "doc_id"))
+    n = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # a row a class
+    over = math.log(min(1, MOST_TOXIC / n.get(1, 1)) / min(1, MOST_CLEAN / n.get(0, 1)))
     some = marks.where("toxic = 1").orderBy("h", "doc_id").limit(MOST_TOXIC).union(marks.where("toxic = 0").orderBy("h", "doc_id").limit(MOST_CLEAN))
     # at most MOST_TOXIC + MOST_CLEAN ids
     some = some.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
-    return docs.join(F.broadcast(some), docs["doc_id"] == F.col("__id")).select(F.col("text").cast("string").alias("text"), F.col("__toxic").alias("toxic"))
+    return docs.join(F.broadcast(some), docs["doc_id"] == F.col("__id")).select(F.col("text").cast("string").alias("text"), F.col("__toxic").alias("toxic")), over
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +95,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
     """Learns from the rows of labels where `train` holds.  Without both classes, the score is the smoothed share."""
-    rows = stash(_train_rows(docs, labels, train).repartition(6), "toxic-train")
+    rows, over = _train_rows(docs, labels, train)
+    rows = stash(rows.repartition(6), "toxic-train")
     n, seen = np.zeros(2, np.int64), np.zeros((2, 1 << BITS), np.int64)
     for part in rows.mapInArrow(_counts, "n array<long>, ids binary, seen binary").collect():  # 6 rows
         n += part.n
@@ -95,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
         seen[:, ids] += np.frombuffer(part.seen, np.int32).reshape(2, -1)
     weights, (n0, n1) = np.zeros(1 << BITS, np.float32), n.tolist()
     if not n0 or not n1:
-        return Model(weights, float(np.log((n1 + 1) / (n0 + 1))))
+        return Model(weights, float(np.log((n1 + 1) / (n0 + 1))) - over)
     a, b = seen[1].astype(float), seen[0].astype(float)
     total, share = a + b, n1 / (n0 + n1)
     expected = total * share
@@ -118,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
     r = ratio[chosen]
     w, bias = _logistic(at, col, r, y)
     weights[chosen] = (w * r).astype(np.float32)
-    return Model(weights, bias)
+    return Model(weights, bias - over)
 
 
 def _logistic(at: np.ndarray, col: np.ndarray, r: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:

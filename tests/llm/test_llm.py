@@ -344,6 +344,18 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_prior_when_the_sample_is_capped(spark, monkeypatch):
+    """Labels whose texts tell nothing: the score is the share of all labelled rows, capped or not."""
+    docs = docs_of(spark, [(i, f"text {i % 7}") for i in range(1000)])
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1000)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 50)
+    monkeypatch.setattr(toxicity, "MOST_CLEAN", 100)
+    monkeypatch.setattr(toxicity, "FEATURES", 0)
+    assert toxicity.fit(docs, labels, F.lit(True)).score("text") == pytest.approx(0.1, abs=0.02)
+    none = toxicity.fit(docs, labels.where("toxic = 0"), F.lit(True))
+    assert none.score("text") == pytest.approx(1 / 901, rel=0.2)
+
+
 def test_long_text_in_turns(monkeypatch):
     text = " ".join(WORDS) * 3
     every = np.ones(1 << toxicity.BITS, np.uint8)
