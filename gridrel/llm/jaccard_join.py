@@ -236,7 +236,7 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     use = counts[place] > 1
     row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])[use]
     col = column[place[use]]
-    out = np.zeros((len(x), len(y)), np.float32)
+    out = np.zeros((len(x), len(y)))  # each turn's product is exact in float32, their sum would not be from 2**24 on
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     for at in range(0, n_columns, COLUMNS):
@@ -256,14 +256,14 @@ def _verify(similar: float):
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
         left = np.flatnonzero(group["block"].to_numpy() == i)
         right = left if i == j else np.flatnonzero(group["block"].to_numpy() == j)
-        n = np.array([len(s) for s in sets], np.float32)
+        n = np.array([len(s) for s in sets], float)
         links, edges = np.zeros(len(ids), np.int64), []
         root = np.arange(len(ids))
         for at in range(0, len(left), BLOCK):
             a = left[at : at + BLOCK]
             both = overlaps([sets[k] for k in a], [sets[k] for k in right])
-            # |x & y| >= s |x | y|, in integers up to rounding far below one part in 10**6
-            ok = both * (1 + similar) >= similar * (n[a][:, None] + n[right][None, :]) - 1e-4
+            # |x & y| >= s |x | y|, in float64: sizes are exact, and the product's rounding is far below the slack
+            ok = both >= similar * (n[a][:, None] + n[right][None, :] - both) - 1e-6
             ok &= a[:, None] != right[None, :]
             np.add.at(links, a, ok.sum(1))
             if i != j:

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,25 @@ def test_jaccard_blocks_and_parts(spark, monkeypatch):
     assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {39}
 
 
+def test_jaccard_ties_of_long_texts(spark):
+    """Sets of thousands of shingles at exactly 0.8 are linked, those one shingle short of it are not."""
+    verify = jaccard_join._verify(0.8)
+    for both in (1_148, 4_000, 40_000, 120_000):
+        union = both * 5 // 4
+        for short in (0, 1):
+            tokens = np.arange(union + short, dtype=np.uint64)
+            x, y = tokens[: both + (union - both) // 2], np.r_[tokens[:both], tokens[both + (union - both) // 2 :]]
+            group = pd.DataFrame({"id": [b"x", b"y"], "tokens": [x.tobytes(), y.tobytes()], "block": 0, "i": 0, "j": 0})
+            assert len(verify(group)) == (0 if short else 3), (both, short)
+    # 4,000 of 5,000 shingles are shared: 4,004 words, then 500 more each
+    words = [f"v{i}" for i in range(5_004)]
+    rows = [(1, " ".join(words[:4_504])), (2, " ".join([*words[:4_004], *words[4_504:]])), (3, " ".join([*words[:4_004], *words[4_504:], "more"]))]
+    sets = [grams(t) for _, t in rows]
+    assert 5 * len(sets[0] & sets[1]) == 4 * len(sets[0] | sets[1])
+    got = {r.doc_id: r.n_links for r in jaccard_join.classes(docs_of(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_paths_survive_as_promised():
     rng = np.random.default_rng(6)
     met, runs = 0, jaccard_join.runs_for(0.8, jaccard_join.DEPTH, 0.999)
