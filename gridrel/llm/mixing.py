@@ -13,6 +13,8 @@ BLOCK, SHARD, BUCKET_DOCS, BUCKET_SHARDS = 32, 16_384, 2_048, 4_096
 BROADCAST_SOURCES = 100_000
 #: Rounds of the swap-or-not permutation.
 ROUNDS = 16
+#: A prime above any shard: draws, which are in order of source, are laid out in the shard by this stride.
+STRIDE = 1_000_000_007
 #: What a word is (single characters, not ranges, make a faster class), and the weights that sources take in turn.
 WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -22,6 +24,14 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def split_words(text: str = "text") -> Column:
+    """The words that word_count counts."""
+    spaced = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    for c in "\t\n\x0b\f\r":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0) -> DataFrame:
     """Per source: source, source_size, target, rank (by code point, null last).
 
@@ -54,25 +64,53 @@ def permuted(index: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Col
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index, swap)
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0) -> DataFrame:
-    """Per row of docs: doc_id, size, source, source_size, target, taken (words the mix takes).
+def mixture(
+    docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0
+) -> DataFrame:
+    """The mix: shard, slot, source, rank, block, at, doc_id, start, first, words; a row for each document's slice of a slot's block.
 
     Words of a source, its documents in hash order, are packed into blocks of `block` words, the
     last one shorter.  Output shards of `shard` slots draw their source counts by stratified
     multinomial draws: slot i of n draws in the i-th n-th of [0, 1), so that counts stay within
     one of what is expected per boundary.  A source's k-th slot takes the block at the
     pseudorandom permutation of k modulo its number of blocks; slots past twice that number are
-    void, so no block, and no document, is taken more than twice.
+    void and missing, so no block is taken more than twice.
+
+    words are the slice's words, joined by a space: those from word `at` of the block, and from
+    word `first` of the document; (rank, start) is the document's row, start being its place in
+    its source.  A shard's text is its rows in order of slot and at.
+
+    A null text has size 0; documents of size 0 and empty sources take no part.  A null source is
+    a source of its own.  Rows that repeat, in ids or in all, are packed each.  Reruns agree: all
+    draws are hashes of seed, shard, slot and source rank.
+    """
+    return _mixture(docs, block, shard, seed, weights, budget, most)[0]
+
+
+def mix(
+    docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0
+) -> DataFrame:
+    """Per row of docs: doc_id, size, source, source_size, target, taken (words of it that the mixture holds, counted there).
 
-    A null text has size 0; documents of size 0 and empty sources take no part and have taken 0.
-    A null source is a source of its own.  Rows that repeat, in ids or in all, are packed each;
-    which of two rows alike in doc_id, source and size comes first makes no difference to the
-    result as a set.  Reruns agree: all draws are hashes of seed, shard, slot and source rank.
-    An empty table gives an empty result.
+    Documents of size 0 and empty sources have taken 0.  Which of two rows alike in doc_id,
+    source and size comes first makes no difference to the result as a set.  An empty table gives
+    an empty result.
     """
+    out, placed = _mixture(docs, block, shard, seed, weights, budget, most)
+    # words are counted in the texts of the mix, which so have to be made
+    n = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1
+    taken = out.select("rank", "start", n.cast("long").alias("n")).groupBy("rank", "start").agg(F.sum("n").alias("n"))
+    # rows of size 0 share the start of the row after them
+    got = F.when(F.col("size") > 0, F.coalesce("n", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return placed.join(taken.hint("merge"), ["rank", "start"], "left").select("doc_id", "size", "source", "source_size", "target", got.alias("taken"))
+
+
+def _mixture(docs: DataFrame, block: int, shard: int, seed: int, weights: tuple[float, ...], budget: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """(mixture, rows of docs with their places, without their texts)."""
     spark = docs.sparkSession
-    sized = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")), "mix-sizes")
-    goals = stash(targets(sized), "mix-targets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), F.col("text").cast("string").alias("text"))
+    sized = stash(texts.drop("text"), "mix-sizes")
+    goals = stash(targets(sized, weights, budget, most), "mix-targets")
     few = goals.count() <= BROADCAST_SOURCES
     small = F.broadcast if few else (lambda df: df)
     docs_of = sized.groupBy("source").agg(F.count("*").alias("n_docs"))
@@ -82,15 +120,19 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0)
     goals = stash(goals.withColumn("slots", F.when(F.col("n_blocks") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(0.0)), "mix-goals")
 
     key = F.xxhash64(F.lit(seed), "doc_id", "size")
-    placed = sized.join(small(goals.select(F.col("source").alias("s"), "rank", "buckets", "source_size", "target")), sized["source"].eqNullSafe(F.col("s"))).drop("s")
-    placed = placed.withColumn("bucket", F.pmod(key, F.col("buckets")))
-    totals = placed.groupBy("rank", "bucket").agg(F.sum("size").alias("n"))
+    of = small(goals.select(F.col("source").alias("s"), "rank", "buckets", "source_size", "target"))
     earlier = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("rank", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("rank", "bucket").orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(totals, ["rank", "bucket"]).withColumn("start", F.col("offset") + F.col("local"))
-    placed = stash(placed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "size", "rank", "source_size", "target", "start"), "mix-places")
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        return rows.join(of, rows["source"].eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.pmod(key, F.col("buckets"))).drop("buckets")
+
+    totals = bucketed(sized).groupBy("rank", "bucket").agg(F.sum("size").alias("n"))
+    totals = stash(totals.select("rank", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")), "mix-buckets")
+
+    def place(rows: DataFrame) -> DataFrame:
+        local = bucketed(rows).withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        return local.join(totals.hint("merge"), ["rank", "bucket"]).withColumn("start", F.col("offset") + F.col("local")).drop("bucket", "offset", "local")
 
     # shares of [0, 1) by source, and the draws of all slots
     upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
@@ -116,21 +158,32 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0)
     upto_shard = F.least((F.col("bucket") + 1) * BUCKET_SHARDS, F.lit(n_shards)) - 1
     drawn = deals.withColumn("shard", F.explode(F.sequence(F.col("bucket") * BUCKET_SHARDS, upto_shard)))
     drawn = drawn.withColumn("m", F.least(F.lit(shard).cast("long"), F.lit(n_slots) - F.col("shard") * shard))
-    counts = drawn.select("shard", "bucket", "rank", "n_blocks", (below("hi") - below("lo")).cast("long").alias("n")).where("n > 0")
+    counts = drawn.select("shard", "bucket", "rank", "n_blocks", "m", below("lo").cast("long").alias("i0"), (below("hi") - below("lo")).cast("long").alias("n")).where("n > 0")
     bucket_sums = counts.groupBy("rank", "bucket").agg(F.sum("n").alias("n")).select("rank", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     inside_shards = Window.partitionBy("rank", "bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("local", F.coalesce(F.sum("n").over(inside_shards), F.lit(0))).join(bucket_sums.hint("merge"), ["rank", "bucket"])
     counts = counts.withColumn("k0", F.col("offset") + F.col("local"))
     # few rows that stand for many slots: dealt out before they unfold, in more tasks for more slots
     counts = counts.repartition(max(shuffle_width(spark), blocks_for(n_slots, 1 << 20)), "rank", "shard")
-    slots = counts.select("rank", "n_blocks", F.explode(F.sequence("k0", F.col("k0") + F.col("n") - 1)).alias("k")).where(F.col("k") < 2 * F.col("n_blocks"))
+    slots = counts.select("rank", "n_blocks", "shard", "m", "i0", "k0", F.explode(F.sequence("k0", F.col("k0") + F.col("n") - 1)).alias("k")).where(F.col("k") < 2 * F.col("n_blocks"))
     turn = F.floor(F.col("k") / F.col("n_blocks"))
-    picks = slots.select("rank", permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.xxhash64(F.lit(seed), "rank", turn)).alias("block"))
-    uses = picks.groupBy("rank", "block").agg(F.count("*").alias("uses"))
+    slot = F.pmod((F.col("i0") + F.col("k") - F.col("k0")) * STRIDE + F.pmod(F.xxhash64(F.lit(seed), F.lit("slot"), "shard"), F.col("m")), F.col("m"))
+    taken = permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.xxhash64(F.lit(seed), "rank", turn))
+    picks = slots.select("shard", slot.alias("slot"), "rank", taken.alias("block"))
 
+    # a document's words in slices by block; texts are moved by bucket, to find their places, and by block, to meet the slots
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    parts = placed.where("size > 0").select("row", "rank", "start", (F.col("start") + F.col("size")).alias("end"), F.explode(F.sequence(first, last)).alias("block"))
-    words = F.least(F.col("end"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    parts = place(texts.where("size > 0")).select("rank", "source", "doc_id", "start", "size", split_words().alias("split"))
+
+    def cut(b: Column) -> Column:
+        begin = F.greatest("start", b * block)
+        n = F.least(F.col("start") + F.col("size"), (b + 1) * block) - begin
+        first = begin - F.col("start")
+        words = F.array_join(F.slice("split", (first + 1).cast("int"), n.cast("int")), " ")
+        return F.struct(b.alias("block"), (begin - b * block).alias("at"), first.alias("first"), words.alias("words"))
+
+    # all slices in one expression: columns beside an explode are worked out anew for each of its rows
+    parts = parts.select("rank", "source", "doc_id", "start", F.explode(F.transform(F.sequence(first, last), cut)).alias("part")).select("rank", "source", "doc_id", "start", "part.*")
     # tables that grow with the slots or documents, which estimates of unfolded rows take for small ones: never broadcast
-    taken = parts.join(uses.hint("merge"), ["rank", "block"]).groupBy("row").agg(F.sum(words * F.col("uses")).alias("taken"))
-    return placed.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    out = picks.join(parts.hint("merge"), ["rank", "block"]).select("shard", "slot", "source", "rank", "block", "at", "doc_id", "start", "first", "words")
+    return out, place(sized)

@@ -264,6 +264,34 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixture_holds_the_words(spark):
+    """Every slot holds its block's words, every block at most two slots, and other weights give other shares."""
+    rows = [(i, f" {i}a\t" + " ".join(f"{i}x{j}" for j in range(i % 70)) + "\n\n", "ab"[i % 2]) for i in range(300)] + [(7, None, "a"), (8, " ", None)]
+    docs = docs_of(spark, rows)
+    got = mixing.mixture(docs, shard=64, weights=(1, 4), budget=1.0, most=1.5).collect()
+    text = {i: t.split() for i, t, _ in rows[:300]}
+    slots, uses, total, held = defaultdict(list), defaultdict(set), Counter(), Counter()
+    for r in got:
+        part = r.words.split(" ")
+        assert part == text[r.doc_id][r.first : r.first + len(part)] and r.source == "ab"[r.doc_id % 2]
+        slots[r.shard, r.slot].append((r.at, part, r.rank, r.block))
+        uses[r.rank, r.block].add((r.shard, r.slot))
+        held[r.doc_id] += len(part)
+        total[r.source] += len(part)
+    assert len({s for s, _ in slots}) > 2 and all(0 <= k < 64 for _, k in slots) and max(map(len, uses.values())) <= 2
+    for parts in slots.values():
+        parts.sort()
+        assert len({(r, b) for *_, r, b in parts}) == 1
+        assert [a for a, *_ in parts] == [sum(len(p) for _, p, *_ in parts[:i]) for i in range(len(parts))]
+    size = {s: sum(len(text[i]) for i, _, t in rows[:300] if t == s) for s in "ab"}
+    assert sum(sum(len(p) for _, p, *_ in parts) == mixing.BLOCK for parts in slots.values()) >= len(slots) - 4
+    for s, share in (("b", min(1.5 * size["b"], 0.8 * sum(size.values()))), ("a", sum(size.values()) - min(1.5 * size["b"], 0.8 * sum(size.values())))):
+        assert abs(total[s] - share) <= max(0.03 * share, 3 * mixing.BLOCK)
+    digest = mixing.mix(docs, shard=64, weights=(1, 4), budget=1.0, most=1.5).collect()
+    assert len(digest) == len(rows)
+    assert Counter({r.doc_id: r.taken for r in digest if r.size}) == Counter({i: held[i] for i in text})
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 97, 1000):
         p = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5).cast("long"))).collect()]
