@@ -2,188 +2,228 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridrel.llm.common import blocks_for, shuffle_width, stash
+from gridrel.llm.common import blocks_for, running, shuffle_width, spread_join, stash
 
 #: Words to a block, slots to an output shard; documents, and shards, to a bucket of the prefix sums.
 BLOCK, SHARD, BUCKET_DOCS, BUCKET_SHARDS = 32, 16_384, 2_048, 4_096
 #: Sources up to so many are sent to every task; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
-#: Rounds of the swap-or-not permutation.
-ROUNDS = 16
+#: Rounds of the swap-or-not permutation, and bits of a slot's draw.
+ROUNDS, BITS = 16, 40
 #: A prime above any shard: draws, which are in order of source, are laid out in the shard by this stride.
 STRIDE = 1_000_000_007
-#: What a word is (single characters, not ranges, make a faster class), and the weights that sources take in turn.
-WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
+#: The white space between words, and the weights that sources take in turn.
+SPACES = r"\x20\x09\x0A\x0B\x0C\x0D"
 WEIGHTS = (3, 1, 2)
 
 
 def word_count(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACES}]+")), F.lit(0)).cast("long")
 
 
-def split_words(text: str = "text") -> Column:
-    """The words that word_count counts."""
-    spaced = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    for c in "\t\n\x0b\f\r":
-        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(spaced, " "), "")
+def _source_key() -> Column:
+    """A key of the source that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Per source: source, source_size, target, rank (by code point, null last).
+    """Per source: source, source_size, n_docs, rank (by code point, null last), target.
 
     Sources share budget times all sizes by weight; a target stops at `most` times its source's
     size and the excess is shared again by weight.  With sources ordered by most * size / weight,
     the first j are full, and the rest take the remainder by weight, for the least j that leaves
-    none above.  The windows run over one row a source.
+    none above.  No task holds all sources.  Without rows there are no sources.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = per.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    ranked = running(per, [F.col("source").asc_nulls_last()], {}, "mix-ranks").withColumnRenamed("place", "rank")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    full = ranked.select("source", "source_size", "rank", w.alias("w"), (most * F.col("source_size")).alias("cap"), (w * 0 + most * F.col("source_size") / w).alias("level"))
-    before = Window.orderBy("level", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy("level", "rank").rowsBetween(0, Window.unboundedFollowing)
-    total = Window.partitionBy()
-    steps = full.select("*", (budget * F.sum("source_size").over(total) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).alias("rest"), F.sum("w").over(after).alias("rest_w"))
-    steps = steps.withColumn("share", F.col("rest") / F.col("rest_w"))
+    full = ranked.select("source", "source_size", "n_docs", "rank", w.alias("w"), (most * F.col("source_size")).alias("cap"), (most * F.col("source_size") / w).alias("level"))
+    steps = running(full, [F.col("level"), F.col("rank")], {"cap_before": F.col("cap"), "w_before": F.col("w")}, "mix-levels")
+    sums = steps.agg(F.sum("source_size").alias("all_size"), F.sum("w").alias("all_w"))
+    steps = steps.crossJoin(F.broadcast(sums))  # one row
+    steps = steps.withColumn("share", (budget * F.col("all_size") - F.col("cap_before")) / (F.col("all_w") - F.col("w_before")))
     # the first source, by level, that its share does not fill fixes the share of all after it
-    settled = F.min_by(F.when(F.col("share") <= F.col("level"), F.col("share")), F.when(F.col("share") <= F.col("level"), F.struct("level", "rank"))).over(total)
-    return steps.withColumn("s", settled).select("source", "source_size", "rank", F.least("cap", F.coalesce(F.col("s") * F.col("w"), F.col("cap"))).alias("target"))
-
+    settled = F.col("share") <= F.col("level")
+    share = steps.agg(F.min_by(F.when(settled, F.col("share")), F.when(settled, F.struct("level", "rank"))).alias("s"))
+    out = steps.drop("share").crossJoin(F.broadcast(share))  # one row
+    return out.select("source", "source_size", "n_docs", "rank", F.least("cap", F.coalesce(F.col("s") * F.col("w"), F.col("cap"))).alias("target"))
 
-def permuted(index: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
-    """A pseudorandom permutation of 0..n-1 applied to index: swap-or-not, keyed by key."""
 
-    def swap(x: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(key, r, F.lit("k")), n) - x, n)
-        return F.when(F.xxhash64(key, r, F.greatest(x, other)).bitwiseAND(1) == 1, other).otherwise(x)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index, swap)
+def permute(rows: DataFrame, column: str, n: str, key: str, rounds: int = ROUNDS) -> DataFrame:
+    """rows with column, an index of 0..n-1, led through a pseudorandom permutation of these: swap-or-not, keyed by key.
 
+    A round is a projection of its own, so that all of them are compiled.
+    """
+    others = [c for c in rows.columns if c != column]
+    for r in range(1, rounds + 1):
+        x, size = F.col(column), F.col(n)
+        rows = rows.select(*others, column, F.pmod(F.pmod(F.xxhash64(F.col(key), F.lit(r), F.lit("k")), size) - x, size).alias("__other"))
+        rows = rows.select(*others, column, "__other", F.xxhash64(F.col(key), F.lit(r), F.greatest(x, F.col("__other"))).alias("__bit"))
+        rows = rows.select(*others, F.when(F.col("__bit").bitwiseAND(1) == 1, F.col("__other")).otherwise(x).alias(column))
+    return rows
 
-def mixture(
-    docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0
-) -> DataFrame:
-    """The mix: shard, slot, source, rank, block, at, doc_id, start, first, words; a row for each document's slice of a slot's block.
 
-    Words of a source, its documents in hash order, are packed into blocks of `block` words, the
-    last one shorter.  Output shards of `shard` slots draw their source counts by stratified
-    multinomial draws: slot i of n draws in the i-th n-th of [0, 1), so that counts stay within
-    one of what is expected per boundary.  A source's k-th slot takes the block at the
-    pseudorandom permutation of k modulo its number of blocks; slots past twice that number are
-    void and missing, so no block is taken more than twice.
+@dataclass
+class Mix:
+    """sized: rows of docs (doc_id, source, size); goals: a row a source; blocks, slots: see blocks() and slots()."""
 
-    words are the slice's words, joined by a space: those from word `at` of the block, and from
-    word `first` of the document; (rank, start) is the document's row, start being its place in
-    its source.  A shard's text is its rows in order of slot and at.
+    sized: DataFrame
+    goals: DataFrame
+    blocks: DataFrame
+    slots: DataFrame
+    few: bool
 
-    A null text has size 0; documents of size 0 and empty sources take no part.  A null source is
-    a source of its own.  Rows that repeat, in ids or in all, are packed each.  Reruns agree: all
-    draws are hashes of seed, shard, slot and source rank.
-    """
-    return _mixture(docs, block, shard, seed, weights, budget, most)[0]
 
+def _with_goals(rows: DataFrame, goals: DataFrame, few: bool, columns: list[str]) -> DataFrame:
+    """rows (source, ...) with columns of their source's goals."""
+    rows, table = rows.withColumn("skey", _source_key()), goals.select(_source_key().alias("skey"), "n_docs", *[c for c in columns if c != "n_docs"])
+    got = rows.join(F.broadcast(table), "skey") if few else spread_join(rows, table, "skey", "n_docs", "inner")
+    return got.drop("skey")
 
-def mix(
-    docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0
-) -> DataFrame:
-    """Per row of docs: doc_id, size, source, source_size, target, taken (words of it that the mixture holds, counted there).
 
-    Documents of size 0 and empty sources have taken 0.  Which of two rows alike in doc_id,
-    source and size comes first makes no difference to the result as a set.  An empty table gives
-    an empty result.
-    """
-    out, placed = _mixture(docs, block, shard, seed, weights, budget, most)
-    # words are counted in the texts of the mix, which so have to be made
-    n = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1
-    taken = out.select("rank", "start", n.cast("long").alias("n")).groupBy("rank", "start").agg(F.sum("n").alias("n"))
-    # rows of size 0 share the start of the row after them
-    got = F.when(F.col("size") > 0, F.coalesce("n", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
-    return placed.join(taken.hint("merge"), ["rank", "start"], "left").select("doc_id", "size", "source", "source_size", "target", got.alias("taken"))
-
-
-def _mixture(docs: DataFrame, block: int, shard: int, seed: int, weights: tuple[float, ...], budget: float, most: float) -> tuple[DataFrame, DataFrame]:
-    """(mixture, rows of docs with their places, without their texts)."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), F.col("text").cast("string").alias("text"))
-    sized = stash(texts.drop("text"), "mix-sizes")
-    goals = stash(targets(sized, weights, budget, most), "mix-targets")
-    few = goals.count() <= BROADCAST_SOURCES
-    small = F.broadcast if few else (lambda df: df)
-    docs_of = sized.groupBy("source").agg(F.count("*").alias("n_docs"))
-    goals = goals.join(docs_of, goals["source"].eqNullSafe(docs_of["source"])).select(goals["*"], "n_docs")
-    goals = goals.withColumn("n_blocks", F.ceil(F.col("source_size") / block)).withColumn("buckets", F.ceil(F.col("n_docs") / BUCKET_DOCS))
+def _goals(sized: DataFrame, block: int, weights: tuple[float, ...], budget: float, most: float) -> tuple[DataFrame, bool]:
+    """targets() with n_blocks, buckets, and places: how many slots the source is to have, whole numbers that sum up to all slots."""
+    goals = targets(sized, weights, budget, most).withColumn("n_blocks", F.ceil(F.col("source_size") / block)).withColumn("buckets", F.ceil(F.col("n_docs") / BUCKET_DOCS))
     # a slot of a source yields source_size / n_blocks words on average
-    goals = stash(goals.withColumn("slots", F.when(F.col("n_blocks") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(0.0)), "mix-goals")
+    goals = goals.withColumn("share", F.when(F.col("n_blocks") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(0.0))
+    goals = running(goals, [F.col("rank")], {"lo": F.col("share")}, "mix-shares").drop("place")
+    # rounding the ends leaves at most a slot more than a turn's whole number of blocks
+    whole = F.least(F.round(F.col("lo") + F.col("share")) - F.round("lo"), F.ceil(most * F.col("n_blocks")))
+    goals = stash(goals.withColumn("hi", F.col("lo") + F.col("share")).withColumn("places", whole.cast("long")), "mix-goals")
+    return goals, goals.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+
 
+def _blocks(docs: DataFrame, sized: DataFrame, goals: DataFrame, few: bool, block: int, seed: int) -> DataFrame:
     key = F.xxhash64(F.lit(seed), "doc_id", "size")
-    of = small(goals.select(F.col("source").alias("s"), "rank", "buckets", "source_size", "target"))
     earlier = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("rank", "bucket").orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("rank", "bucket").orderBy(key, "doc_id", "size", "th").rowsBetween(Window.unboundedPreceding, -1)
 
     def bucketed(rows: DataFrame) -> DataFrame:
-        return rows.join(of, rows["source"].eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.pmod(key, F.col("buckets"))).drop("buckets")
+        return _with_goals(rows, goals, few, ["rank", "buckets"]).withColumn("bucket", F.pmod(key, F.col("buckets"))).drop("buckets", "n_docs")
 
-    totals = bucketed(sized).groupBy("rank", "bucket").agg(F.sum("size").alias("n"))
+    totals = bucketed(sized.where("size > 0")).groupBy("rank", "bucket").agg(F.sum("size").alias("n"))
     totals = stash(totals.select("rank", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")), "mix-buckets")
-
-    def place(rows: DataFrame) -> DataFrame:
-        local = bucketed(rows).withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        return local.join(totals.hint("merge"), ["rank", "bucket"]).withColumn("start", F.col("offset") + F.col("local")).drop("bucket", "offset", "local")
-
-    # shares of [0, 1) by source, and the draws of all slots
-    upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    bounds = goals.where("slots > 0").select("rank", "n_blocks", (F.sum("slots").over(upto) / F.sum("slots").over(Window.partitionBy())).alias("hi"), F.col("slots"))
-    n_slots = goals.agg(F.ceil(F.coalesce(F.sum("slots"), F.lit(0.0)))).first()[0] or 0
-    shares = bounds.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("rank")), F.lit(0.0))).withColumn("hi", F.when(F.lead("rank").over(Window.orderBy("rank")).isNull(), F.lit(2.0)).otherwise(F.col("hi")))
-    # slot i of m draws (i + u_i) / m; u_i by hash: a source's count is that of the whole strata
-    # inside its share, and of the two strata at its ends if their draws fall inside
-
-    def u(i: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit("u"), "shard", i), F.lit(1 << 40)) / F.lit(float(1 << 40))
-
-    def below(edge: str) -> Column:
-        """Number of the shard's draws under the edge."""
-        stratum = F.floor(F.least(F.col(edge), F.lit(1.0)) * F.col("m"))
-        return F.when(F.col(edge) >= 1.0, F.col("m")).otherwise(stratum + F.when((stratum + u(stratum)) / F.col("m") < F.col(edge), 1).otherwise(0))
-
-    # each source unfolds into its shards by buckets, dealt out first; a source's prefix sums run inside buckets, then over them
-    n_shards = blocks_for(n_slots, shard)
-    n_buckets = blocks_for(n_shards, BUCKET_SHARDS)
-    deals = shares.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_buckets - 1).cast("long"))))
-    deals = deals.repartition(max(shuffle_width(spark), blocks_for(n_buckets, 16)), "rank", "bucket")
-    upto_shard = F.least((F.col("bucket") + 1) * BUCKET_SHARDS, F.lit(n_shards)) - 1
-    drawn = deals.withColumn("shard", F.explode(F.sequence(F.col("bucket") * BUCKET_SHARDS, upto_shard)))
-    drawn = drawn.withColumn("m", F.least(F.lit(shard).cast("long"), F.lit(n_slots) - F.col("shard") * shard))
-    counts = drawn.select("shard", "bucket", "rank", "n_blocks", "m", below("lo").cast("long").alias("i0"), (below("hi") - below("lo")).cast("long").alias("n")).where("n > 0")
-    bucket_sums = counts.groupBy("rank", "bucket").agg(F.sum("n").alias("n")).select("rank", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    inside_shards = Window.partitionBy("rank", "bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("local", F.coalesce(F.sum("n").over(inside_shards), F.lit(0))).join(bucket_sums.hint("merge"), ["rank", "bucket"])
-    counts = counts.withColumn("k0", F.col("offset") + F.col("local"))
-    # few rows that stand for many slots: dealt out before they unfold, in more tasks for more slots
-    counts = counts.repartition(max(shuffle_width(spark), blocks_for(n_slots, 1 << 20)), "rank", "shard")
-    slots = counts.select("rank", "n_blocks", "shard", "m", "i0", "k0", F.explode(F.sequence("k0", F.col("k0") + F.col("n") - 1)).alias("k")).where(F.col("k") < 2 * F.col("n_blocks"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), F.col("text").cast("string").alias("text"))
+    texts = bucketed(texts.where("size > 0")).withColumn("th", F.xxhash64("text"))
+    local = texts.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = local.join(totals.hint("merge"), ["rank", "bucket"]).withColumn("start", F.col("offset") + F.col("local")).drop("bucket", "offset", "local", "th")
+    # runs of `block` words of a text after as many made-up words as its first block holds already
+    skip = F.col("start") % block
+    runs = F.regexp_extract_all(F.concat(F.repeat(F.lit("_ "), skip.cast("int")), F.col("text")), F.lit(f"(?:[^{SPACES}]++[{SPACES}]*+){{1,{block}}}+"), 0)
+    parts = placed.select("rank", "source", "doc_id", "start", "size", F.posexplode(runs).alias("i", "run"))
+    first = F.greatest(F.col("i") * block - skip, F.lit(0).cast("long"))
+    end = F.least((F.col("i") + 1) * block - skip, F.col("size"))
+    opening = F.col("i") == 0
+    return stash(
+        parts.select(
+            "rank", "source", (F.floor(F.col("start") / block) + F.col("i")).alias("block"), F.when(opening, skip).otherwise(F.lit(0).cast("long")).alias("at"),
+            "doc_id", "start", "size", first.alias("first"), (end - first).alias("n"), F.when(opening, F.substr("run", (2 * skip + 1).cast("int"))).otherwise(F.col("run")).alias("words"),
+        ), "mix-blocks",
+    )
+
+
+def _slots(spark: SparkSession, goals: DataFrame, few: bool, shard: int, seed: int) -> DataFrame:
+    small = F.broadcast if few else (lambda df: df)
+    ends = goals.agg(F.max("hi").alias("hi"), F.sum("places").alias("n"), F.count("*").alias("sources"), F.max(F.when(F.col("share") > 0, F.col("rank"))).alias("last")).first()
+    n_slots, width = ends.n or 0, shuffle_width(spark)
+    # every slot draws a place in [0, total); sources lie there by their shares, found by cells of equal width
+    cells = max(4_096, 4 * ends.sources)
+    cell = lambda c: F.least(F.floor(c / F.lit(ends.hi or 1.0) * cells), F.lit(cells - 1))
+    shares = goals.where("share > 0").withColumn("hi", F.when(F.col("rank") == F.lit(ends.last), F.lit(float("inf"))).otherwise(F.col("hi")))
+    shares = shares.select("rank", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.least("hi", F.lit(ends.hi or 1.0))))).alias("cell"))
+    draws = spark.range(0, n_slots, 1, max(width, blocks_for(n_slots, 1 << 24)))
+    u = F.pmod(F.xxhash64(F.lit(seed), F.lit("u"), "id"), F.lit(1 << BITS)) / F.lit(float(1 << BITS)) * F.lit(ends.hi or 1.0)
+    draws = draws.select(F.floor(F.col("id") / shard).alias("shard"), u.alias("u")).withColumn("cell", cell(F.col("u")))
+    counts = draws.join(small(shares), "cell").where((F.col("lo") <= F.col("u")) & (F.col("u") < F.col("hi"))).groupBy("shard", "rank").agg(F.count("*").alias("n"))
+    # a shard's draws in order of source; a source's draws in order of shard, by buckets of shards
+    in_shard = Window.partitionBy("shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("shard", "rank", "n", F.coalesce(F.sum("n").over(in_shard), F.lit(0)).alias("i0"), F.floor(F.col("shard") / BUCKET_SHARDS).alias("bucket"))
+    counts = stash(counts, "mix-counts")
+    earlier = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.groupBy("rank", "bucket").agg(F.sum("n").alias("n")).select("rank", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("rank", "bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("k0", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(before.hint("merge"), ["rank", "bucket"]).withColumn("k0", F.col("k0") + F.col("offset"))
+    counts = stash(counts.select("shard", "rank", "n", "i0", "k0"), "mix-places")
+    # sources drawn too often hand what is past their places, in order, to those drawn too seldom
+    drawn = counts.groupBy("rank").agg(F.sum("n").alias("drawn"))
+    over = goals.join(drawn, "rank", "left").select("rank", "n_blocks", "places", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    over = running(over, [F.col("rank")], {"given": F.greatest(F.col("drawn") - F.col("places"), F.lit(0)), "got": F.greatest(F.col("places") - F.col("drawn"), F.lit(0))}, "mix-over").drop("place")
+    over = stash(over, "mix-over")
+    counts = counts.join(small(over.select("rank", "n_blocks", "places", "given")), "rank")
+    m = F.least(F.lit(shard).cast("long"), F.lit(n_slots) - F.col("shard") * shard)
+
+    def unfolded(first: Column, last: Column) -> DataFrame:
+        """A row for each of a count's draws from number first to last of its source; few rows stand for many, so they are dealt out before."""
+        some = counts.withColumn("a", first).withColumn("b", last).where(F.col("a") <= F.col("b")).repartition(max(width, blocks_for(n_slots, 1 << 20)), "rank", "shard")
+        some = some.select("shard", "rank", "n_blocks", "i0", "k0", "given", "places", F.explode(F.sequence("a", "b")).alias("k"))
+        slot = F.pmod((F.col("i0") + F.col("k") - F.col("k0")) * STRIDE + F.pmod(F.xxhash64(F.lit(seed), F.lit("slot"), "shard"), m), m)
+        return some.select("shard", slot.alias("slot"), "rank", "n_blocks", "k", (F.col("given") + F.col("k") - F.col("places")).alias("e"))
+
+    end = F.col("k0") + F.col("n") - 1
+    own = unfolded(F.col("k0"), F.least(end, F.col("places") - 1)).drop("e")
+    late = unfolded(F.greatest("k0", "places"), end).select("shard", "slot", "e", F.floor(F.col("e") / cells).alias("cell"))
+    short = over.where("places > drawn").select(F.col("rank"), "n_blocks", F.col("drawn"), F.col("got").alias("lo"), (F.col("got") + F.col("places") - F.col("drawn")).alias("hi"))
+    short = short.select("*", F.explode(F.sequence(F.floor(F.col("lo") / cells), F.floor((F.col("hi") - 1) / cells))).alias("cell"))
+    late = late.join(short, "cell").where((F.col("lo") <= F.col("e")) & (F.col("e") < F.col("hi"))).select("shard", "slot", "rank", "n_blocks", (F.col("drawn") + F.col("e") - F.col("lo")).alias("k"))
+    picks = own.unionByName(late)
     turn = F.floor(F.col("k") / F.col("n_blocks"))
-    slot = F.pmod((F.col("i0") + F.col("k") - F.col("k0")) * STRIDE + F.pmod(F.xxhash64(F.lit(seed), F.lit("slot"), "shard"), F.col("m")), F.col("m"))
-    taken = permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.xxhash64(F.lit(seed), "rank", turn))
-    picks = slots.select("shard", slot.alias("slot"), "rank", taken.alias("block"))
-
-    # a document's words in slices by block; texts are moved by bucket, to find their places, and by block, to meet the slots
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    parts = place(texts.where("size > 0")).select("rank", "source", "doc_id", "start", "size", split_words().alias("split"))
-
-    def cut(b: Column) -> Column:
-        begin = F.greatest("start", b * block)
-        n = F.least(F.col("start") + F.col("size"), (b + 1) * block) - begin
-        first = begin - F.col("start")
-        words = F.array_join(F.slice("split", (first + 1).cast("int"), n.cast("int")), " ")
-        return F.struct(b.alias("block"), (begin - b * block).alias("at"), first.alias("first"), words.alias("words"))
-
-    # all slices in one expression: columns beside an explode are worked out anew for each of its rows
-    parts = parts.select("rank", "source", "doc_id", "start", F.explode(F.transform(F.sequence(first, last), cut)).alias("part")).select("rank", "source", "doc_id", "start", "part.*")
-    # tables that grow with the slots or documents, which estimates of unfolded rows take for small ones: never broadcast
-    out = picks.join(parts.hint("merge"), ["rank", "block"]).select("shard", "slot", "source", "rank", "block", "at", "doc_id", "start", "first", "words")
-    return out, place(sized)
+    picks = picks.select("shard", "slot", "rank", "n_blocks", (F.col("k") % F.col("n_blocks")).alias("block"), F.xxhash64(F.lit(seed), "rank", turn).alias("key"))
+    return stash(permute(picks, "block", "n_blocks", "key").select("shard", "slot", "rank", "block"), "mix-slots")
+
+
+def plan(
+    docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0
+) -> Mix:
+    """Packs the blocks, draws the slots and maps them to blocks; all tables are written.
+
+    blocks (rank, source, block, at, doc_id, start, size, first, n, words): words of a source, its
+    documents in hash order, packed into blocks of `block` words, the last one shorter; a row for
+    each document's slice of a block: n words from place `at` of the block and from word `first`
+    of the document, as they stand in its text.  (rank, start) is the document's row, start being
+    its place in its source, size its words.
+
+    slots (shard, slot, rank, block): every slot draws its source by itself, with the sources'
+    shares as chances, so the counts of a shard of `shard` slots are multinomial.  Over all
+    shards a source is to have a whole number of slots (its target); slots that it drew past that
+    number go, in order, to sources that were drawn less often, so targets are met to a block.  A
+    source's k-th slot takes the block at the pseudorandom permutation of k modulo its number of
+    blocks; every turn through the blocks has a permutation of its own.
+
+    A null text has size 0; documents of size 0 and empty sources take no part.  A null source is
+    a source of its own.  Rows that repeat, in ids or in all, are packed each; columns other than
+    doc_id, text and source are not read.  Reruns agree: all draws are hashes of seed, slot,
+    shard and source rank.  An empty table gives empty tables.
+    """
+    sized = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")), "mix-sizes")
+    goals, few = _goals(sized, block, weights, budget, most)
+    return Mix(sized, goals, _blocks(docs, sized, goals, few, block, seed), _slots(docs.sparkSession, goals, few, shard, seed), few)
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The mix: shard, slot, source, rank, block, at, doc_id, start, first, n, words; a row for each document's slice of a slot's block.
+
+    A shard's text is the words of its rows in order of slot and at.  options and edge cases: plan().
+    """
+    p = plan(docs, **options)
+    # both grow with the slots or documents, which estimates of unfolded rows take for small ones: never broadcast
+    return p.slots.join(p.blocks.hint("merge"), ["rank", "block"]).select("shard", "slot", "source", "rank", "block", "at", "doc_id", "start", "first", "n", "words")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """Per row of docs: doc_id, size, source, source_size, target, taken (words of it that the mixture holds).
+
+    taken sums the slices of the document's blocks over the slots that the blocks fill.  Documents
+    of size 0 and empty sources have taken 0.  Which of two rows alike in doc_id, source and size
+    comes first makes no difference to the result as a set.  options and edge cases: plan().
+    """
+    p = plan(docs, **options)
+    uses = p.slots.groupBy("rank", "block").agg(F.count("*").alias("uses"))  # a block has as many rows of slots as turns
+    parts = p.blocks.select("rank", "source", "block", "doc_id", "start", "size", "n").join(uses.hint("merge"), ["rank", "block"], "left")
+    taken = parts.groupBy("rank", "start").agg(F.first("source").alias("source"), F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.sum(F.col("n") * F.coalesce("uses", F.lit(0))).alias("taken"))
+    rows = taken.select("doc_id", "source", "size", "taken").unionByName(p.sized.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
+    return _with_goals(rows, p.goals, p.few, ["source_size", "target"]).select("doc_id", "size", "source", "source_size", "target", "taken")
