@@ -14,7 +14,7 @@ BLOCK, SHARD, BUCKET_DOCS, BUCKET_SHARDS = 32, 16_384, 2_048, 4_096
 #: Sources up to so many are sent to every task; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 #: Rounds of the swap-or-not permutation, and bits of a slot's draw.
-ROUNDS, BITS = 16, 40
+ROUNDS, BITS = 12, 40
 #: A prime above any shard: draws, which are in order of source, are laid out in the shard by this stride.
 STRIDE = 1_000_000_007
 #: The white space between words, and the weights that sources take in turn.
@@ -57,14 +57,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
 def permute(rows: DataFrame, column: str, n: str, key: str, rounds: int = ROUNDS) -> DataFrame:
     """rows with column, an index of 0..n-1, led through a pseudorandom permutation of these: swap-or-not, keyed by key.
 
-    A round is a projection of its own, so that all of them are compiled.
+    A round is two projections of few operations, so that all rounds fit into a method that the JVM compiles.
     """
     others = [c for c in rows.columns if c != column]
     for r in range(1, rounds + 1):
-        x, size = F.col(column), F.col(n)
-        rows = rows.select(*others, column, F.pmod(F.pmod(F.xxhash64(F.col(key), F.lit(r), F.lit("k")), size) - x, size).alias("__other"))
-        rows = rows.select(*others, column, "__other", F.xxhash64(F.col(key), F.lit(r), F.greatest(x, F.col("__other"))).alias("__bit"))
-        rows = rows.select(*others, F.when(F.col("__bit").bitwiseAND(1) == 1, F.col("__other")).otherwise(x).alias(column))
+        x = F.col(column)
+        other = F.pmod(F.shiftright(F.xxhash64(F.col(key), F.lit(r)), 1) - x, F.col(n))
+        swap = F.xxhash64(F.col(key), F.lit(-r), F.greatest(x, F.col("__other"))).bitwiseAND(1) == 1
+        rows = rows.select(*others, column, other.alias("__other")).select(*others, F.when(swap, F.col("__other")).otherwise(x).alias(column))
     return rows
 
 
@@ -109,7 +109,8 @@ def _blocks(docs: DataFrame, sized: DataFrame, goals: DataFrame, few: bool, bloc
     totals = bucketed(sized.where("size > 0")).groupBy("rank", "bucket").agg(F.sum("size").alias("n"))
     totals = stash(totals.select("rank", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")), "mix-buckets")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), F.col("text").cast("string").alias("text"))
-    texts = bucketed(texts.where("size > 0")).withColumn("th", F.xxhash64("text"))
+    # not by size: the words would be counted once for the filter and once more
+    texts = bucketed(texts.where(F.regexp_like("text", F.lit(f"[^{SPACES}]")))).withColumn("th", F.xxhash64("text"))
     local = texts.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = local.join(totals.hint("merge"), ["rank", "bucket"]).withColumn("start", F.col("offset") + F.col("local")).drop("bucket", "offset", "local", "th")
     # runs of `block` words of a text after as many made-up words as its first block holds already
