@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,18 +13,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridrel.llm.common import shuffle_width, stash
+from gridrel.llm.common import free, shuffle_width, spread_join, stash
 from gridrel.llm.components import components
 
 GRAM, SIMILAR, RECALL = 5, 0.8, 0.999
 #: Levels of a path, and the bucket size up to which no further level is taken.
 DEPTH, BUCKET = 3, 64
-#: Sketches: 16 bits of each of so many minima.  Of two texts at SIMILAR all but a few in 10**5
-#: agree in MAYBE of them; a text that agrees in ALIKE with a leader stands behind it.
+#: Sketches: 16 bits of the minimum of each of so many ranges of tokens.  Of two texts at SIMILAR
+#: all but a few in 10**6 agree in MAYBE of them; one that agrees in ALIKE with a leader stands behind it.
 SKETCH, MAYBE, ALIKE = 64, 0.55, 0.95
-#: Texts that are compared with each other as one matrix product, and columns of it at a time.
-BLOCK, COLUMNS = 512, 1 << 13
+#: Texts, and tokens, of a block of sets that are compared with those of another, and columns of their product at a time.
+BLOCK, BLOCK_TOKENS, COLUMNS = 512, 1 << 20, 1 << 13
+#: Products of paths and tokens that are held at once, and bytes of a text that are split at once.
+CELLS, TURN = 1 << 20, 1 << 20
+#: Ids of texts that a task remembers to pass each only once.
+KNOWN = 100_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_SPACE = re.compile(rb"\s")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,15 +42,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def shingles(text: str | None, gram: int = GRAM) -> np.ndarray:
     """Sorted distinct hashes of the runs of `gram` words (A-Z in lower case, split at ASCII white space).
 
-    A text of fewer words, but not none, is one shingle of all of them.
+    A text of fewer words, but not none, is one shingle of all of them; a null has none.  A long
+    text is split TURN bytes at a time.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < gram:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64)
-    one = _word_hashes(words)
-    n = len(words) - gram + 1
+    data, at, parts = (text or "").encode().lower(), 0, []
+    while at < len(data):
+        end = len(data)
+        if end - at > TURN and (cut := _SPACE.search(data, at + TURN)):
+            end = cut.start()
+        words = data[at:end].split()
+        parts.append(_word_hashes(words))
+        at = end
+    one = np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.empty(0, np.uint64)
+    if not len(one):
+        return one
+    if len(one) < gram:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(data.split()))], np.uint64)
+    n = len(one) - gram + 1
     h = np.full(n, gram, np.uint64)
     for j in range(gram):
         h = mixed(h ^ (one[j : j + n] + np.uint64(j)))
@@ -87,16 +101,25 @@ def runs_for(similar: float, depth: int, recall: float) -> int:
     return runs
 
 
+def _taken(at: np.ndarray, tokens: np.ndarray, cut: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(path, token) places of the tokens that each path takes, CELLS products at a time: at is odd, and tokens are hashes."""
+    step = max(1, CELLS // len(at))
+    found = []
+    for k in range(0, len(tokens), step):
+        path, token = np.nonzero(at[:, None] * tokens[None, k : k + step] < cut)
+        found.append((path, token + k))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
+
+
 def chosen_paths(tokens: np.ndarray, runs: int, depth: int, similar: float, seed: int = 0) -> np.ndarray:
     """(n, depth) path ids of one set: rows are leaves, 0 where a branch died out before."""
     cut = np.uint64(min(2**64 - 1, int(2**64 / (similar * len(tokens)))))
     rows: list[np.ndarray] = []
     live = np.zeros((runs, depth), np.uint64)
-    at = mixed(np.arange(1, runs + 1, dtype=np.uint64) + np.uint64(seed << 20))
+    at = mixed(np.arange(1, runs + 1, dtype=np.uint64) + np.uint64(seed << 20)) | np.uint64(1)
     for level in range(depth):
-        h = mixed(at[:, None] ^ tokens)
-        parent, token = np.nonzero(h < cut)
-        ids = mixed(h[parent, token] + np.uint64(level + 1)) | np.uint64(1)
+        parent, token = _taken(at, tokens, cut)
+        ids = mixed(mixed(at[parent] + np.uint64(level)) ^ tokens[token]) | np.uint64(1)
         ended = np.setdiff1d(np.arange(len(at)), parent)
         if level:
             rows.append(live[ended])
@@ -108,20 +131,16 @@ def chosen_paths(tokens: np.ndarray, runs: int, depth: int, similar: float, seed
     return np.concatenate([*rows, live])
 
 
-_SALTS = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_RANGES = np.arange(SKETCH, dtype=np.uint64) * np.uint64(2**64 // SKETCH)
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    """The low 16 bits of the minimum of each of SKETCH hash functions (multiply-shift over mixed tokens)."""
-    out = np.full(SKETCH, 2**32 - 1, np.uint32)
-    odd = (_SALTS | np.uint64(1)).astype(np.uint32)
-    for at in range(0, len(tokens), 1 << 14):
-        t = (tokens[at : at + (1 << 14)] >> np.uint64(32)).astype(np.uint32)
-        h = t[None, :] * odd[:, None]
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
-        out = np.minimum(out, h.min(1))
-    return (mixed(out.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+    """16 bits of the least token of each of SKETCH ranges of the hash; 0 for a range without one.  Tokens are sorted."""
+    first = np.searchsorted(tokens, _RANGES)
+    some = first < np.append(first[1:], len(tokens))
+    out = np.zeros(SKETCH, np.uint16)
+    out[some] = (tokens[first[some]] & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+    return out
 
 
 PATHS_DDL = "id binary, n int, sketch binary, paths array<long>"
@@ -131,13 +150,19 @@ def _paths(runs: int, similar: float, gram: int):
     schema = pa.schema([("id", pa.binary()), ("n", pa.int32()), ("sketch", pa.binary()), ("paths", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part, seen = batch.slice(at, 512), {}
+                part, rows = batch.slice(at, 512), []
                 for id_, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    if id_ not in seen and len(tokens := shingles(text.as_py(), gram)):
-                        seen[id_] = (id_, len(tokens), sketch(tokens).tobytes(), chosen_paths(tokens, runs, DEPTH, similar).astype(np.int64).ravel())
-                yield pa.RecordBatch.from_pydict({f.name: [r[i] for r in seen.values()] for i, f in enumerate(schema)}, schema=schema)
+                    if id_ in known:
+                        continue
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    known.add(id_)
+                    if len(tokens := shingles(text.as_py(), gram)):
+                        rows.append((id_, len(tokens), sketch(tokens).tobytes(), chosen_paths(tokens, runs, DEPTH, similar).astype(np.int64).ravel()))
+                yield pa.RecordBatch.from_pydict({f.name: [r[i] for r in rows] for i, f in enumerate(schema)}, schema=schema)
 
     return run
 
@@ -154,20 +179,24 @@ def buckets(paths: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """
     leaves = paths.select("id", F.posexplode(F.expr(f"transform(sequence(0, size(paths) - 1, {DEPTH}), i -> slice(paths, i + 1, {DEPTH}))")).alias("leaf", "p")).where(F.size("paths") > 0)
     rest = leaves.select("id", *[F.col("p")[i].alias(f"p{i}") for i in range(DEPTH)])
-    done = None
+    done, levels = None, []
     for level in range(DEPTH):
         here = rest.where(f"p{level} <> 0")
-        sizes = here.select(f"p{level}", "id").distinct().groupBy(f"p{level}").agg(F.count("*").alias("size")).where("size > 1")
-        here = stash(here.join(sizes, f"p{level}"), "join-level")
+        sizes = stash(here.select(f"p{level}", "id").distinct().groupBy(f"p{level}").agg(F.count("*").alias("size")).where("size > 1"), "join-sizes")
+        here = stash(spread_join(here, sizes, f"p{level}", "size", "inner"), "join-level")
+        levels += [sizes, here]
         ends = here.where(F.lit(True) if level == DEPTH - 1 else F.col("size") <= bucket).select(F.col(f"p{level}").alias("bucket"), "id", "size").distinct()
         done = ends if done is None else done.union(ends)
         rest = here.where(F.col("size") > bucket).drop("size")
-    return stash(done, "join-buckets")
+    out = stash(done, "join-buckets")
+    free(*levels)
+    return out
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of sketch places in which each row of a and each row of b agree."""
-    return (a[:, None, :] == b[None, :, :]).mean(2)
+    """Share of the ranges with a token of either in which each row of a and each row of b agree."""
+    x, y = a[:, None, :], b[None, :, :]
+    return ((x == y) & (x != 0)).sum(2) / np.maximum(((x != 0) | (y != 0)).sum(2), 1)
 
 
 def near(ids: list[bytes], sketches: np.ndarray) -> list[tuple[bytes, bytes]]:
@@ -248,11 +277,12 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(similar: float):
-    """Exact comparison inside a group: blocks i and j of a candidate class (or all of a small one)."""
+    """Brute force over the buckets whose texts are in blocks i and j of a group: exact similarity of all pairs that met in one."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("id").sort_values("id", ignore_index=True)
         sets, ids = [np.frombuffer(t, np.uint64) for t in group["tokens"]], group["id"].tolist()
+        met = [np.asarray(m, np.int64) for m in group["met"]]
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
         left = np.flatnonzero(group["block"].to_numpy() == i)
         right = left if i == j else np.flatnonzero(group["block"].to_numpy() == j)
@@ -265,6 +295,7 @@ def _verify(similar: float):
             # |x & y| >= s |x | y|, in float64: sizes are exact, and the product's rounding is far below the slack
             ok = both >= similar * (n[a][:, None] + n[right][None, :] - both) - 1e-6
             ok &= a[:, None] != right[None, :]
+            ok &= overlaps([met[k] for k in a], [met[k] for k in right]) > 0
             np.add.at(links, a, ok.sum(1))
             if i != j:
                 np.add.at(links, right, ok.sum(0))
@@ -282,12 +313,23 @@ def _verify(similar: float):
 
 
 def _token_rows(gram: int):
+    """(id, text, ...) to (id, tokens, ...), each text once a task while it is remembered."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                tokens = [shingles(t.as_py(), gram).tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.binary()), part.column(2), part.column(3)], names=["id", "tokens", "label", "size"])
+                part, new, tokens = batch.slice(at, 256), [], []
+                for k, (id_, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1), strict=True)):
+                    if id_ in known:
+                        continue
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    known.add(id_)
+                    new.append(k)
+                    tokens.append(shingles(text.as_py(), gram).tobytes())
+                kept = part.take(pa.array(new, pa.int32()))
+                yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(tokens, pa.binary()), *[kept.column(k) for k in range(2, part.num_columns)]], names=["id", "tokens", *part.schema.names[2:]])
 
     return run
 
@@ -296,34 +338,68 @@ def similar_texts(docs: DataFrame, similar: float = SIMILAR, gram: int = GRAM, r
     """(classes, links) of distinct texts: (id, label) and (id, links), for texts that have a link.
 
     1. Every distinct text draws its chosen paths for all runs, and a sketch of its shingle set.
-    2. Paths split texts into buckets until these are small; buckets give edges between texts
-       whose sketches agree in MAYBE, and their components are candidate classes.
-    3. In candidate classes all pairs are compared exactly, block against block, on the whole
-       shingle sets; links are counted there, and the components of linked texts are the classes.
+    2. Paths split texts into buckets until these are small.  Texts of a bucket whose sketches
+       agree in MAYBE belong to one group, and so do groups that share a text.
+    3. Buckets are brute-forced on whole sets, those of one group together, so that a set moves
+       once a block and a pair that met in many buckets is compared once: all pairs that met in
+       a bucket are compared exactly, and their links counted.  The components of linked texts
+       are the classes.
+
+    A group is cut into blocks by its texts and by its tokens, and a task holds two blocks.  A
+    pair at the threshold meets in a bucket of some run with a chance of at least recall (see
+    survival()); the sketches lose a few pairs in 10**6 of those.  Texts without shingles take no
+    part; an empty table has no classes.
     """
-    spark = docs.sparkSession
     runs = runs_for(similar, DEPTH, recall)
     texts = docs.select(text_id().alias("id"), F.col("text").cast("string").alias("text"))
     paths = stash(texts.mapInArrow(_paths(runs, similar, gram), PATHS_DDL), "join-paths")
-    one = paths.groupBy("id").agg(F.first("sketch").alias("sketch"))
-    coarse = components(near_edges(buckets(paths), one))
-    sizes = coarse.groupBy("label").agg(F.count("*").alias("size"))
-    members = stash(coarse.join(sizes, "label"), "join-members")
+    one = stash(paths.groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n")), "join-sketches")
+    done = buckets(paths)
+    edges = stash(near_edges(done, one), "join-edges")
+    coarse = components(edges)
+    met = done.groupBy("id").agg(F.collect_list("bucket").alias("met"))
+    held = stash(coarse.join(one.select("id", "n"), "id").join(met, "id"), "join-members")
+    sizes = held.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
+    n_blocks = F.greatest(F.ceil(F.col("size") / (2 * BLOCK)), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    sizes = stash(sizes.select("label", "size", n_blocks.alias("blocks")), "join-groups")
+    members = spread_join(held, sizes, "label", "size", "inner").select("id", "label", "blocks", "met")
     # of the rows of one text only that of the smallest doc_id moves, so a text of many copies is no hot key
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    first = docs.select(text_id().alias("id"), doc.alias("doc")).groupBy("id").agg(F.min("doc").alias("doc"))
-    some = members.join(first, "id")
-    few = docs.select(text_id().alias("id"), doc.alias("doc"), F.col("text").cast("string").alias("text")).join(some, ["id", "doc"])
-    tokens = few.select("id", "text", "label", "size").mapInArrow(_token_rows(gram), "id binary, tokens binary, label binary, size long")
-    n_blocks = F.ceil(F.col("size") / (2 * BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
-    blocked = tokens.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    blocked = blocked.select("id", "tokens", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    ids = docs.select(text_id().alias("id"), doc.alias("doc"))
+    first = ids.groupBy("id", "doc").agg(F.count("*").alias("held")).groupBy("id").agg(F.min(F.struct("doc", "held")).alias("f")).select("id", "f.doc", "f.held")
+    some = stash(members.join(first, "id"), "join-some")
+    few = spread_join(docs.select(text_id().alias("id"), doc.alias("doc"), F.col("text").cast("string").alias("text")), some, ["id", "doc"], "held", "inner")
+    tokens = few.select("id", "text", "label", "blocks", "met").mapInArrow(_token_rows(gram), "id binary, tokens binary, label binary, blocks int, met array<long>")
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    blocked = tokens.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocked = blocked.select("id", "tokens", "met", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     found = stash(blocked.groupBy("label", "i", "j").applyInPandas(_verify(similar), "a binary, b binary, links long"), "join-verified")
+    free(paths, one, done, edges, coarse, held, some, sizes)
     links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     return components(found.where("b is not null")), links
 
 
+def _per_text(docs: DataFrame, similar: float, gram: int, recall: float) -> DataFrame:
+    """Per distinct text with words: id, copies, label (null without links), links; least, the smallest doc_id
+    of its rows (null if all are null) and how many rows have that (held); class_least and class_text, the
+    smallest doc_id of its class and the text that has it."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("id")).where(_has_words())
+    found, links = similar_texts(docs, similar, gram, recall)
+    rows = ids.groupBy("id", "doc_id").agg(F.count("*").alias("n"))
+    rows = rows.groupBy("id").agg(F.sum("n").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("n").alias("held"))).alias("f"))
+    rows = rows.select("id", "copies", F.col("f.doc_id").alias("least"), F.col("f.held").alias("held"))
+    texts = stash(rows.join(found, "id", "left").join(links, "id", "left"), "join-texts")
+    ends = texts.where("label is not null").groupBy("label").agg(F.count("*").alias("texts"), F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc"), "id")).alias("c"))
+    ends = stash(ends.select("label", "texts", F.col("c.doc").alias("class_least"), F.col("c.id").alias("class_text")), "join-classes")
+    out = spread_join(texts, ends, "label", "texts")
+    of_class = lambda c, own: F.when(F.col("label").isNull(), F.col(own)).otherwise(F.col(c)).alias(c)
+    return stash(out.select("id", "copies", "label", "links", "least", "held", of_class("class_least", "least"), of_class("class_text", "id")), "join-texts")
+
+
+def _has_words():
+    return F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+
+
 def classes(docs: DataFrame, similar: float = SIMILAR, gram: int = GRAM, recall: float = RECALL) -> DataFrame:
     """Per row of docs: doc_id, class_id, n_links, n_copies.
 
@@ -332,25 +408,35 @@ def classes(docs: DataFrame, similar: float = SIMILAR, gram: int = GRAM, recall:
     shingles of at least `similar`; n_copies the other rows of the same text.  Rows without
     words (null, empty, white space) have no shingles: each is a class of its own without links
     or copies.  A null doc_id in a class counts as larger than all; a class of null ids is null.
+    Columns other than doc_id and text are not read; an empty table gives an empty result.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("id"), F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)).alias("has"))
-    found, links = similar_texts(docs, similar, gram, recall)
-    ids = stash(ids, "join-ids")
-    per_text = ids.where("has").groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    per_text = stash(per_text.join(found, "id", "left").join(links, "id", "left"), "join-texts")
-    per_class = per_text.where("label is not null").groupBy("label").agg(F.min("least").alias("class_least"))
-    per_text = per_text.join(per_class, "label", "left").select("id", F.coalesce("class_least", "least").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
-    grouped = per_text.where("n_links > 0 or n_copies > 0")
-    out = ids.join(grouped, (ids["id"] == grouped["id"]) & ids["has"], "left")
+    texts = _per_text(docs, similar, gram, recall)
     zero = F.lit(0).cast("long")
+    grouped = texts.where("links > 0 or copies > 1").select("id", "copies", F.col("class_least").alias("class_id"), F.coalesce("links", zero).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
+    # a row without words has no key
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(_has_words(), text_id()).alias("id"))
+    out = spread_join(ids, grouped, "id", "copies")
     return out.select("doc_id", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_copies", zero).alias("n_copies"))
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR, gram: int = GRAM, recall: float = RECALL) -> DataFrame:
-    """The rows of docs that stand for their class: the one with the smallest doc_id; rows without words all stay.
+    """One row of docs, with its own columns, for each class: the one with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document: they stay or go together.
+    Rows without words all stay.  Rows are judged one by one: rows that share a doc_id, or have
+    none, stay or go by their own texts.  Of the texts of a class that share the smallest doc_id
+    the one with the least text_id() stands for it, and of rows alike in both doc_id and text the
+    one whose columns come first as JSON.  A null doc_id counts as larger than all.  An empty
+    table gives an empty result.
     """
-    found = classes(docs.select("doc_id", "text"), similar, gram, recall).where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    lose = found.select(F.col("doc_id").alias("__lose")).distinct()
-    return docs.join(lose, docs["doc_id"].eqNullSafe(F.col("__lose")), "left_anti")
+    texts = _per_text(docs, similar, gram, recall).where("label is not null or copies > 1")
+    texts = texts.select(F.col("id").alias("__id"), "copies", (F.col("id") == F.col("class_text")).alias("__stands"), F.col("least").alias("__least"), F.col("held").alias("__held"))
+    rows = docs.withColumn("__id", F.when(_has_words(), text_id()))
+    rows = spread_join(rows, texts.withColumnRenamed("copies", "__copies"), "__id", "__copies")
+    stay = F.col("__stands").isNull() | (F.col("__stands") & F.col("doc_id").cast("long").eqNullSafe(F.col("__least")))
+    rows = rows.where(stay)
+    if texts.where("__held > 1").isEmpty():
+        return rows.select(docs.columns)
+    alike = F.coalesce(F.col("__held") > 1, F.lit(False))
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    best = rows.where(alike).groupBy("__id").agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return rows.where(~alike).select(docs.columns).union(best.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
