@@ -11,28 +11,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridrel.llm.common import stash
+
 #: Where the lengths of pieces are remembered, at most so many in a worker.
 PIECES_KEPT = 250_000
 #: Lengths to a bucket of the two-level suffix sums.
 SPAN = 1024
+#: Fixed value: a pattern of pieces by which a single space starts a piece.  Texts may be cut at
+#: spaces under this pattern alone; under any other, whole texts are encoded at once.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: In texts without these, every single space starts a piece that encodes on its own.
 _UNSAFE = re.compile(r"[^\S \n]|  | \n|\n |^ | \Z")
 
 
+def load_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
 def load_encoding(path: str, pattern: str):
+    return encoding_of(load_ranks(path), pattern)
+
+
+def encoding_of(ranks: dict[bytes, int], pattern: str):
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 class PieceLengths(dict):
     """Token counts of pieces, each with its leading space, encoded once while remembered."""
 
-    def __init__(self, encoding) -> None:
+    def __init__(self, encoding, pattern: str) -> None:
         super().__init__()
-        self.encoding = encoding
+        self.encoding, self.spaced = encoding, pattern == SPACED
 
     def __missing__(self, piece: str) -> int:
         if len(self) >= PIECES_KEPT:
@@ -42,7 +54,7 @@ class PieceLengths(dict):
 
     def of(self, text: str) -> int:
         """len(encode_ordinary(text)): words after a single space never share a token with what precedes."""
-        if _UNSAFE.search(text):
+        if not self.spaced or _UNSAFE.search(text):
             return len(self.encoding.encode_ordinary(text))
         first, *rest = text.split(" ")
         return len(self.encoding.encode_ordinary(first)) + sum(map(self.__getitem__, rest))
@@ -51,12 +63,14 @@ class PieceLengths(dict):
 def length_histogram(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
     """Per encoded length: n_tokens and the number of documents n_docs.
 
-    Whole texts are encoded.  A null or empty text has 0 tokens.  Repeated rows count each.
-    Other columns are not read.  An empty table gives an empty histogram.
+    Whole texts of any length are encoded.  A null or empty text has 0 tokens.  Repeated rows
+    count each.  Other columns are not read.  An empty table gives an empty histogram.
+    vocabulary: a file of ranks, read on the driver and sent to the tasks.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))  # of the size of the vocabulary
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, seen = PieceLengths(load_encoding(vocabulary, pattern)), Counter()
+        lengths, seen = PieceLengths(encoding_of(sent.value, pattern), pattern), Counter()
         for batch in batches:
             for text in batch.column(0):
                 seen[lengths.of(text.as_py() or "")] += 1
@@ -71,7 +85,9 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     tokens kept (truncated_total) and dropped when every document is cut at that length.
 
     Sums run inside spans of lengths and over the spans' totals, so no task holds all lengths.
+    The histogram is written once, as both read it; an empty one gives no rows.
     """
+    histogram = stash(histogram, "lengths")
     h = histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / SPAN).alias("span"))
     spans = h.groupBy("span").agg(F.sum("n_docs").alias("sd"), F.sum("tokens").alias("st"))
     later = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
