@@ -23,9 +23,9 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*([0-9]+)[ \t]*(?=\r\n)", re.I)
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1 of a binary column: eight groups of 20 bits."""
-    digest, letters = F.sha1(payload), []
+def base32_of(digest: Column) -> Column:
+    """Bare upper-case base32 of a SHA-1 in hexadecimal digits: eight groups of 20 bits."""
+    letters = []
     for group in range(8):
         bits = F.conv(F.substring(digest, 5 * group + 1, 5), 16, 10).cast("int")
         letters += [F.substring(F.lit(BASE32), F.shiftright(bits, shift).bitwiseAND(31) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
@@ -41,7 +41,8 @@ def write_warc(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z",
     breaks are removed from urls; a null url gives no target header.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.octet_length(payload).alias("size"), base32_sha1(payload).alias("digest"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.octet_length(payload).alias("size"), F.sha1(payload).alias("sha1"))
+    rows = rows.withColumn("digest", base32_of(F.col("sha1"))).drop("sha1")
     groups = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
     groups = stash(groups, "warc-groups")
     few = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -190,21 +191,29 @@ def read_warc(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     entries = reached.withColumn("start", (F.floor(F.col("off") / chunk) * chunk).cast("long")).join(chunks, ["path", "start"])
     one = Window.partitionBy("path", "start").orderBy("off")
     entries = entries.withColumn("first", F.row_number().over(one)).where("first = 1").select("path", "off", "start", "length", "chunk")
-    return entries.mapInArrow(_records, RECORD_DDL)
+    # few small rows that each stand for a chunk: dealt out one by one, else they would be merged into one task
+    return entries.repartition(shuffle_width(spark)).mapInArrow(_records, RECORD_DDL)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes pages as archives in shared storage, reads them back, and describes each record."""
+    """Writes pages as archives in shared storage, reads them back, and describes each record.
+
+    Per row of pages: page_id, payload_bytes, payload_digest, record_type, refers_to.  Nulls, empty
+    payloads and repeated rows are as in write_warc(); other columns are not read.  No pages, no rows.
+    """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_warc(pages, path)
     got = read_warc(spark, path)
     ident = lambda c: F.nullif(F.regexp_extract(c, "<urn:page:(.*)>", 1), F.lit("null")).cast("long")
-    kind, revisit = F.col("headers")["warc-type"], F.col("headers")["warc-type"] == "revisit"
+    revisit = F.col("record_type") == "revisit"
+    got = got.select(
+        F.col("headers")["warc-type"].alias("record_type"), F.col("headers")["warc-record-id"].alias("id"), F.col("headers")["warc-refers-to"].alias("to"),
+        F.regexp_replace(F.col("headers")["warc-payload-digest"], "^sha1:", "").alias("said"), F.col("http_headers")["content-length"].cast("long").alias("said_bytes"),
+        F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"),
+    )
+    got = got.withColumn("digest", base32_of(F.col("sha1")))
     return got.select(
-        ident(F.col("headers")["warc-record-id"]).alias("page_id"),
-        F.when(revisit, F.col("http_headers")["content-length"].cast("long")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
-        F.when(revisit, F.regexp_replace(F.col("headers")["warc-payload-digest"], "^sha1:", "")).otherwise(base32_sha1(F.col("payload"))).alias("payload_digest"),
-        kind.alias("record_type"),
-        F.when(revisit, ident(F.col("headers")["warc-refers-to"])).alias("refers_to"),
-    )
+        ident("id").alias("page_id"), F.when(revisit, F.col("said_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("said")).otherwise(F.col("digest")).alias("payload_digest"), "record_type", F.when(revisit, ident("to")).alias("refers_to"),
+    )
