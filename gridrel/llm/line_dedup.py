@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridrel.llm.common import SPACE, shuffle_width, stash, text_key
+from gridrel.llm.common import SPACE, shuffle_width, spread_join, stash, text_key
 
 #: A null doc_id stands for one document before all others.
 NO_ID = -(2**63)
@@ -124,7 +124,8 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
     end are kept.  Keys of at least least_chars code points that occur in at least least_docs
     documents (by doc_id) lose their lines in all but the largest doc_id.  A null doc_id is one
     document below all others (its key in doc is NO_ID); rows that repeat a doc_id are one
-    document.  Order: hash, document, text, position; equal keys are held to be equal lines if
+    document.  A null or empty text is one empty line and loses nothing; an empty table gives no
+    rows; columns other than doc_id and text are not read.  Order: hash, document, text, position; equal keys are held to be equal lines if
     128 bits of their hashes agree.
 
     Hot lines spread over several range partitions, since the ranges go on to document and
@@ -139,8 +140,8 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
     shared = Window.partitionBy("h1", "h2").orderBy("part")
     runs = settled.where("kind = 2").withColumn("again", (F.lag("th").over(shared) == F.col("doc")).cast("int"))
     runs = runs.groupBy("h1", "h2").agg((F.sum("pos") - F.coalesce(F.sum("again"), F.lit(0))).alias("n"), F.max("th").alias("largest")).where(F.col("n") >= least_docs)
-    # two runs a partition, and one for each RUN_ROWS lines
-    late = settled.where("kind = 1").join(F.broadcast(runs), ["h1", "h2"]).where("doc <> largest")
+    # two runs a partition, and one for each RUN_ROWS lines; a run may be of any length
+    late = spread_join(settled.where("kind = 1").select("h1", "h2", "doc", "th", "pos"), stash(runs, "line-long"), ["h1", "h2"], "n", "inner").where("doc <> largest")
     drops = settled.where("kind = 0").select("doc", "th", "pos").union(late.select("doc", "th", "pos"))
     return drops.groupBy("doc", "th").agg(F.collect_set("pos").alias("drops")).mapInArrow(_pack, "doc long, th long, keep binary")
 
@@ -169,7 +170,11 @@ def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def summary(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_lines, n_dropped, kept_sha256 of the kept lines joined by \\n."""
+    """Per row of docs: doc_id, n_lines, n_dropped, kept_sha256 of the kept lines joined by \\n.
+
+    bitmaps are those of keep_bitmaps() for the same docs.  A null or empty text is one empty
+    line; rows that repeat are described each; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +189,11 @@ def summary(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with their texts reduced to the kept lines; n_chars, where present, follows."""
+    """docs with their texts reduced to the kept lines; n_chars, where present, follows.
+
+    Every row stays, also one that loses all its lines (its text is then empty).  Rows without
+    dropped lines, null texts among them, are left as they are; other columns pass unchanged.
+    """
 
     @F.pandas_udf("string")
     def rest(text, keep):
