@@ -26,8 +26,8 @@ _SALT = (np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.
 
 
 def ngram_ids(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Hashes below 2**BITS of the n-grams of bytes, for one n after another."""
-    scaled = [data.astype(np.uint32) * _SALT[j] for j in range(max(NGRAMS))]
+    """Hashes below 2**BITS of the n-grams of code points, for one n after another."""
+    scaled = [data * _SALT[j] for j in range(max(NGRAMS))]
     for n in NGRAMS:
         m = len(data) - n + 1
         if m <= 0:
@@ -42,7 +42,7 @@ def ngram_ids(data: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _turns(text: str | None) -> Iterator[np.ndarray]:
-    data = np.frombuffer((text or "").encode().lower(), np.uint8)
+    data = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
     for at in range(0, max(len(data) - min(NGRAMS) + 1, 0), TURN):
         yield data[at : at + TURN + max(NGRAMS) - 1]
 
@@ -148,8 +148,9 @@ def _logistic(at: np.ndarray, col: np.ndarray, r: np.ndarray, y: np.ndarray, pen
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with a column of scores from 0 to 1 (higher: likelier toxic).
 
-    A null or empty text is scored like one without any known n-gram.  Only text is read.
-    Texts of any length are hashed whole, TURN bytes at a time.  Rows that repeat score alike.
+    A null or empty text is scored like one without any known n-gram.  Only text is read; a
+    column of docs that has the given name already is replaced.  Texts of any length are hashed
+    whole, TURN characters at a time.  Rows that repeat score alike; an empty table stays empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))  # 2**BITS floats
 
