@@ -89,11 +89,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Vocabulary:
-    """counts: a table of every training word; head: the words with own symbols, by rank; per class, its totals."""
+    """counts: a table of every training word, and the end; head: the words with own symbols, by rank; per class, its totals."""
 
     counts: DataFrame
     total: int
     distinct: int
+    ends: int
     head: dict[bytes, int]
     head_counts: np.ndarray
     class_tokens: np.ndarray
@@ -101,21 +102,31 @@ class Vocabulary:
 
 
 def vocabulary(train: DataFrame, head: int = HEAD) -> Vocabulary:
+    """Counts of all training tokens.  The head are the most frequent words, at most `head` of them.
+
+    It ends between two levels of counts, a sixteenth of an octave wide, so that it is found from
+    the numbers of words a level, and no task has to sort the words.  The end is no part of it:
+    it has a symbol of its own whatever its count.
+    """
     counts = stash(train.select(F.col("text").cast("string")).mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
-    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).collect()  # at most `head` words
-    ranks = {bytes(r.word): i for i, r in enumerate(top)}
+    is_end = F.col("word") == F.lit(bytearray(END))
+    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(is_end, F.col("c"))), F.lit(0)).alias("ends")).first()
+    words = counts.where(~is_end).withColumn("level", F.floor(F.log2("c") * 16).cast("int"))
+    room, least = head, 0
+    for r in sorted(words.groupBy("level").agg(F.count("*").alias("n")).collect(), key=lambda r: -r.level):  # 16 levels an octave: about 1,000 rows at most
+        if r.n > room:
+            least = r.level + 1
+            break
+        room -= r.n
+    top = sorted(((-r.c, bytes(r.word)) for r in words.where(F.col("level") >= least).collect()))  # at most `head` words
     # bytes of the word in JVM expressions, as in word_classes
     n, last = F.octet_length("word"), F.conv(F.hex(F.substring("word", -1, 1)), 16, 10).cast("int")
     ascii_only = F.octet_length("word") == F.char_length(F.decode("word", "UTF-8"))
     kind = F.shiftleft(F.least(F.shiftright(n, 2), F.lit(7)), 3) + F.when(ascii_only, 0).otherwise(4) + F.shiftright(last, 1).bitwiseAND(3)
-    per_class = counts.where(F.col("word") != F.lit(END)).withColumn("k", kind)
-    least = (top[-1].c, bytes(top[-1].word)) if len(top) == head else (0, b"")
-    rest = (F.col("c") < least[0]) | ((F.col("c") == least[0]) & (F.col("word") > F.lit(bytearray(least[1])))) if len(top) == head else F.lit(False)
     tokens_of, words_of = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in per_class.where(rest).groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # CLASSES rows
+    for r in words.where(F.col("level") < least).groupBy(kind.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # CLASSES rows
         tokens_of[r.k], words_of[r.k] = r.n, r.v
-    return Vocabulary(counts, size.n, size.v, ranks, np.array([r.c for r in top], float), tokens_of, words_of)
+    return Vocabulary(counts, size.n, size.v, size.ends, {w: i for i, (_, w) in enumerate(top)}, np.array([-c for c, _ in top], float), tokens_of, words_of)
 
 
 TOKENISED = "doc_id long, held_out boolean, symbols array<int>, tail array<struct<word:binary,n:int>>, n_tokens long, head_known long, head_log double"
@@ -125,13 +136,13 @@ def tokenise(docs: DataFrame, held_out: Column, v: Vocabulary) -> DataFrame:
     """Symbols of whole texts; words without own symbols go along with their numbers (tail)."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((list(v.head), np.log10(v.head_counts + 1)))  # at most HEAD words
-    end_rank = v.head.get(END, -1)
+    ends = v.ends
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, logs = sent.value
         heads, n_head = pa.array([w.decode() for w in words], pa.string()), len(words)
-        end = end_rank if end_rank >= 0 else n_head + CLASSES
-        logs = np.append(logs, np.zeros(CLASSES + 1))  # nothing for symbols of classes
+        end = n_head + CLASSES
+        logs = np.concatenate([logs, np.zeros(CLASSES), [np.log10(ends + 1)]])  # nothing for symbols of classes
         offsets = lambda sizes: pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
         for batch in batches:
             for part in turns(batch, 2):
@@ -145,7 +156,7 @@ def tokenise(docs: DataFrame, held_out: Column, v: Vocabulary) -> DataFrame:
                 pairs, times = np.unique(row[outside] * max(len(distinct), 1) + codes, return_counts=True)
                 in_row, word = np.divmod(pairs, max(len(distinct), 1))
                 tails = pa.StructArray.from_arrays([distinct.cast(pa.binary()).take(pa.array(word)), pa.array(times, pa.int32())], ["word", "n"])
-                known = np.bincount(row[~outside], minlength=len(n)) + (end_rank >= 0)
+                known = np.bincount(row[~outside], minlength=len(n)) + (ends > 0)
                 head_log = np.bincount(row, logs[ids], len(n)) + logs[end]
                 symbols = np.insert(ids, np.cumsum(n), end).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -302,25 +313,32 @@ def log_likelihoods(model: Hmm, symbols: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def trained(rows: DataFrame, states: int = STATES, rounds: int = ROUNDS, head: int = HEAD, seed: int = 0) -> tuple[Vocabulary, DataFrame, Hmm]:
+    """Of rows (doc_id, text, held_out): the vocabulary and the model of those not held out, and all rows as symbols."""
+    v = vocabulary(rows.where(~F.col("held_out")), head)
+    done = stash(tokenise(rows, F.col("held_out"), v).withColumn("row", F.monotonically_increasing_id()), "lm-tokens")
+    weights = np.concatenate([v.head_counts, v.class_tokens, [float(v.ends)]]) + 1.0
+    return v, done, baum_welch(done.where(~F.col("held_out")), first_guess(weights / weights.sum(), states, seed), rounds)
+
+
 def score(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int = ROUNDS, head: int = HEAD, seed: int = 0) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     A token is a word or the end; c, N and V count the training tokens, the ends among them.  The
-    model: hidden states emit symbols, the HEAD most frequent words and the end each their own
-    and all other words their class's; a word of a class has the share (c + 1) / (N_k + V_k + 1)
+    model: hidden states emit symbols, the most frequent words (HEAD at most) and the end each
+    their own and all other words their class's; a word of a class has the share (c + 1) / (N_k + V_k + 1)
     of it, the last 1 for all words not met in training.  Null and empty texts are the end alone.
     Without training rows every token is unknown.  Rows that repeat are scored, and counted, each.
+    A null held_out counts as training.  Columns other than doc_id and text are not read; an
+    empty table gives an empty result.
 
     Counts, Baum-Welch and scores read every row.  Words outside the head are joined with the
     table of counts by word, so nothing that grows with the vocabulary is broadcast.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    v = vocabulary(rows.where(~F.col("held_out")), head)
+    v, done, model = trained(rows, states, rounds, head, seed)
     n_head, symbols = len(v.head), len(v.head) + CLASSES + 1
-    done = stash(tokenise(rows, F.col("held_out"), v).withColumn("row", F.monotonically_increasing_id()), "lm-tokens")
-    weights = np.concatenate([v.head_counts, v.class_tokens, [0.0]]) + 1.0
-    model = baum_welch(done.where(~F.col("held_out")), first_guess(weights / weights.sum(), states, seed), rounds)
     per_class = np.log10(v.class_tokens + v.class_words + 1)
     sent = spark.sparkContext.broadcast((model.start, model.move, model.emit, per_class))
 
