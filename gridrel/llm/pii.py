@@ -17,8 +17,9 @@ HIDDEN, WINDOW, CONTEXT = 8, 160, 16
 STRIDE = WINDOW - 2 * CONTEXT
 #: Windows that run in step; with WINDOW and HIDDEN this bounds a task's memory.
 STEP_WINDOWS = 2_048
-#: Documents that training windows are cut from: those whose ids hash lowest.
-TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_STEPS = 200, 3_000, 160
+#: Bounds of the training sample: documents (those whose ids hash lowest), pieces cut from each,
+#: whatever its length, windows made of the pieces, and steps over the windows.
+TRAIN_DOCS, TRAIN_PIECES, TRAIN_WINDOWS, TRAIN_STEPS = 200, 15, 3_000, 240
 #: Spans that the model adds have so many characters at least.
 LEAST = 7
 PAD, OTHER = 129, 128
@@ -33,6 +34,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _AT = re.compile(r"@|\bat\b")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_NUMBERS = re.compile(r"[0-9]+")
 
 
 def luhn(digits: str) -> bool:
@@ -180,11 +182,11 @@ def loss_and_gradient(m: Tagger, x: np.ndarray, y: np.ndarray) -> tuple[float, l
     return float((z - gold).mean()), [g / b for g in grads]
 
 
-def train(x: np.ndarray, y: np.ndarray, steps: int = TRAIN_STEPS, batch: int = 96, seed: int = 0, hidden: int = HIDDEN) -> Tagger:
-    """Adam on random batches of labelled windows."""
-    rng, model = np.random.default_rng(seed), fresh(seed, hidden)
+def train(x: np.ndarray, y: np.ndarray, steps: int = TRAIN_STEPS, batch: int = 96, seed: int = 0, hidden: int = HIDDEN) -> Tagger | None:
+    """Adam on random batches of labelled windows; None, which tags nothing, where there are none."""
     if not len(x):
-        return model
+        return None
+    rng, model = np.random.default_rng(seed), fresh(seed, hidden)
     first = second = None
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(x), batch)
@@ -199,54 +201,110 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = TRAIN_STEPS, batch: int = 9
     return model
 
 
-def _made_up(rng: np.random.Generator, word: str) -> tuple[int, str]:
-    """A span of one of the kinds, in forms that the patterns know and in forms that they don't."""
-    kind, d = int(rng.integers(0, 4)), lambda n: "".join(map(str, rng.integers(0, 10, n)))
+def _digits(rng: np.random.Generator, n: int) -> str:
+    return "".join(map(str, rng.integers(0, 10, n)))
+
+
+def _card(rng: np.random.Generator) -> str:
+    """16 digits that pass luhn()."""
+    head = _digits(rng, 15)
+    return head + next(d for d in "0123456789" if luhn(head + d))
+
+
+def hidden_span(rng: np.random.Generator, word: str) -> tuple[int, str]:
+    """A made-up span of one of the kinds in a form that the patterns do not know."""
+    kind, d = int(rng.integers(0, 4)), lambda n: _digits(rng, n)
     word = re.sub(r"[^a-z]", "", word.lower()) or "name"
     if kind == 0:
-        at = ["@", "@", " at ", " [at] ", "(at)"][rng.integers(0, 5)]
-        dot = "." if at == "@" else [".", " dot ", " [dot] "][rng.integers(0, 3)]
+        at, dot = [" at ", " [at] ", "(at)"][rng.integers(0, 3)], [" dot ", " [dot] ", "."][rng.integers(0, 3)]
         return 0, f"{word}{['', '.' + d(2), '_' + d(1)][rng.integers(0, 3)]}{at}{['mail' + d(1), 'post', 'web'][rng.integers(0, 3)]}{dot}example{dot}{['com', 'org', 'net'][rng.integers(0, 3)]}"
     if kind == 1:
-        return 1, ".".join(str(rng.integers(1, 256)) for _ in range(4))
+        return 1, ["[.]", "(.)", " . "][rng.integers(0, 3)].join(str(rng.integers(1, 256)) for _ in range(4))
     if kind == 2:
-        n = d(16)
-        return 2, [n, n, " ".join(n[i : i + 4] for i in range(0, 16, 4)), "-".join(n[i : i + 4] for i in range(0, 16, 4))][rng.integers(0, 4)]
+        n = _card(rng)
+        return 2, [".", "/", "  "][rng.integers(0, 3)].join(n[i : i + 4] for i in range(0, 16, 4))
     a, b, c = d(3), d(3), d(4)
-    return 3, [f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{d(2)} {a} {b} {c}"][rng.integers(0, 5)]
+    return 3, [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}"][rng.integers(0, 4)]
+
+
+def plain_span(rng: np.random.Generator, word: str) -> tuple[int, str]:
+    """A made-up span in a form of the patterns."""
+    kind, d = int(rng.integers(0, 4)), lambda n: _digits(rng, n)
+    word = re.sub(r"[^a-z]", "", word.lower()) or "name"
+    if kind == 0:
+        return 0, f"{word}{['', '.' + d(2), '_' + d(1)][rng.integers(0, 3)]}@{['mail' + d(1), 'post', 'web'][rng.integers(0, 3)]}.example.{['com', 'org', 'net'][rng.integers(0, 3)]}"
+    if kind == 1:
+        return 1, ".".join(str(rng.integers(1, 256)) for _ in range(4))
+    if kind == 2:
+        n = _card(rng)
+        return 2, ["", " ", "-"][rng.integers(0, 3)].join(n[i : i + 4] for i in range(0, 16, 4))
+    return 3, [f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}"][rng.integers(0, 2)]
 
 
 def _decoy(rng: np.random.Generator) -> str:
-    """Numbers and codes that are no personal data."""
+    """Numbers and codes that are no personal data, numbers of 16 digits that fail luhn() among them."""
     hexes = "".join("0123456789abcdef"[i] for i in rng.integers(0, 16, 40))
-    return [f'token = "{hexes}"', str(rng.integers(0, 100_000)), f"{rng.integers(1, 20)}.{rng.integers(0, 20)}", str(rng.integers(1900, 2100)), f"v{rng.integers(0, 9)}.{rng.integers(0, 9)}.{rng.integers(0, 9)}", f"{rng.integers(1, 999)},{rng.integers(100, 999)}.00"][rng.integers(0, 6)]
+    card = _card(rng)
+    wrong = card[:15] + str((int(card[15]) + int(rng.integers(1, 10))) % 10)
+    day = f"{rng.integers(1990, 2040)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}"
+    return [
+        f'token = "{hexes}"', str(rng.integers(0, 100_000)), f"{rng.integers(1, 20)}.{rng.integers(0, 20)}", str(rng.integers(1900, 2100)), f"v{rng.integers(0, 9)}.{rng.integers(0, 9)}.{rng.integers(0, 9)}",
+        f"{rng.integers(1, 999)},{rng.integers(100, 999)}.00", wrong, " ".join(wrong[i : i + 4] for i in range(0, 16, 4)), day, f"{day} {rng.integers(0, 24):02d}:{rng.integers(0, 60):02d}:{rng.integers(0, 60):02d}",
+        f"at {rng.integers(1, 12)} dot {rng.integers(1, 99)}", "looked at the dot on the line",
+    ][rng.integers(0, 12)]
+
+
+def pieces_of(text: str, n: int = TRAIN_PIECES) -> list[tuple[str, bytes]]:
+    """n pieces of WINDOW characters of a text of any length and their labels (0 or kind + 1) by the patterns, some near spans."""
+    rng, spans = np.random.default_rng(len(text)), base_spans(text)
+    out = []
+    for _ in range(n if text else 0):
+        near = spans and rng.random() < 0.4
+        at = max(0, spans[rng.integers(0, len(spans))][0] - int(rng.integers(0, STRIDE))) if near else int(rng.integers(0, max(1, len(text) - STRIDE)))
+        piece, marks = text[at : at + WINDOW], np.zeros(WINDOW, np.uint8)
+        for a, kind, b in spans:
+            marks[max(0, a - at) : max(0, min(WINDOW, b - at))] = kind + 1
+        out.append((piece, marks[: len(piece)].tobytes()))
+    return out
 
 
-def labelled_windows(texts: list[str], n: int = TRAIN_WINDOWS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of the texts with their pattern spans as labels; in two of three a made-up span or a decoy is put."""
+def labelled_windows(pieces: list[tuple[str, bytes]], n: int = TRAIN_WINDOWS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of the pieces with their labels; in two of three a made-up span or a decoy is put."""
     rng = np.random.default_rng(seed)
-    texts = [t for t in texts if t]
-    xs, ys = np.full((n if texts else 0, WINDOW), PAD, np.uint8), np.zeros((n if texts else 0, WINDOW), np.uint8)
-    spans = [base_spans(t) for t in texts]
-    for k in range(len(xs)):
-        which = int(rng.integers(0, len(texts)))
-        text, found = texts[which], spans[which]
-        at = max(0, found[rng.integers(0, len(found))][0] - int(rng.integers(0, STRIDE))) if found and rng.random() < 0.4 else int(rng.integers(0, max(1, len(text) - STRIDE)))
-        piece, marks = text[at : at + WINDOW], np.zeros(WINDOW, np.uint8)
-        for a, kind, b in found:
-            marks[max(0, a - at) : max(0, min(WINDOW, b - at))] = kind + 1
+    n = n if pieces else 0
+    xs, ys = np.full((n, WINDOW), PAD, np.uint8), np.zeros((n, WINDOW), np.uint8)
+    for k in range(n):
+        piece, labels = pieces[rng.integers(0, len(pieces))]
+        marks = np.frombuffer(labels, np.uint8)
         gap = piece.find(" ", int(rng.integers(0, WINDOW)))
         if gap >= 0 and rng.random() < 2 / 3 and not marks[gap]:
-            kind, put = _made_up(rng, piece[:gap].rsplit(" ", 1)[-1]) if rng.random() < 0.7 else (-1, _decoy(rng))
+            word, which = piece[:gap].rsplit(" ", 1)[-1], rng.random()
+            kind, put = hidden_span(rng, word) if which < 0.5 else plain_span(rng, word) if which < 0.7 else (-1, _decoy(rng))
             piece = f"{piece[: gap + 1]}{put}{piece[gap:]}"
             marks = np.concatenate([marks[: gap + 1], np.full(len(put), kind + 1, np.uint8), marks[gap:]])
-        start = int(rng.integers(0, CONTEXT)) if at == 0 else 0  # windows at a text's beginning start with padding
+        start = int(rng.integers(0, CONTEXT)) if rng.random() < 0.1 else 0  # some windows start with padding, as those at a text's beginning do
         piece = piece[: WINDOW - start]
         xs[k, start : start + len(piece)] = symbols(piece)
         ys[k, start : start + len(piece)] = marks[: len(piece)]
     return xs, ys
 
 
+def held_out_quality(model: Tagger | None, pieces: list[tuple[str, bytes]], n: int = 400, seed: int = 1) -> tuple[float, float]:
+    """(precision, recall) of the added spans on pieces into each of which a made-up span that the patterns miss, or a decoy, is put."""
+    rng, decoder = np.random.default_rng(seed), Decoder(model) if model else None
+    right = added = planted = 0
+    for _ in range(n if pieces else 0):
+        piece = pieces[rng.integers(0, len(pieces))][0]
+        gap = max(0, piece.find(" ", int(rng.integers(0, max(1, len(piece) // 2)))))
+        kind, put = hidden_span(rng, piece[:gap].rsplit(" ", 1)[-1]) if rng.random() < 0.5 else (-1, _decoy(rng))
+        text = f"{piece[: gap + 1]}{put}{piece[gap:]}"
+        base = base_spans(text)
+        new = set(reconcile(text, base, decoder.tag([text])[0] if decoder else [])) - set(base)
+        hit = [s for s in new if s[1] == kind and s[0] < gap + 1 + len(put) and gap + 1 < s[2]]
+        right, added, planted = right + len(hit), added + len(new), planted + (kind >= 0)
+    return right / max(added, 1), right / max(planted, 1)
+
+
 class Decoder:
     """Fast decoding of many windows in step, in single precision."""
 
@@ -343,10 +401,21 @@ class Decoder:
         return out
 
 
+def plausible(text: str, kind: int) -> bool:
+    """What a span of a kind must have beyond the model's word: an "at"; four numbers up to 255; 14 to 19 digits that pass luhn(); 7 to 15 digits."""
+    if kind == 0:
+        return bool(_AT.search(text))
+    numbers = _NUMBERS.findall(text)
+    if kind == 1:
+        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers)
+    digits = "".join(numbers)
+    return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 7 <= len(digits) <= 15
+
+
 def reconcile(text: str, base: list[tuple[int, int, int]], model: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Base spans and the model spans that touch none of them, trimmed of what is no letter, digit or bracket.
 
-    Of the latter those stay that have LEAST characters, and an "at" (email) or LEAST digits (others).
+    Of the latter those stay that have LEAST characters and are plausible().
     """
     out, i = list(base), 0
     for a, kind, b in model:
@@ -356,7 +425,7 @@ def reconcile(text: str, base: list[tuple[int, int, int]], model: list[tuple[int
             b -= 1
         while i < len(base) and base[i][2] <= a:
             i += 1
-        if b - a >= LEAST and not any(s < b and a < e for s, _, e in base[max(0, i - 4) : i + 4]) and (bool(_AT.search(text, a, b)) if kind == 0 else sum(ch.isdigit() for ch in text[a:b]) >= LEAST):
+        if b - a >= LEAST and not any(s < b and a < e for s, _, e in base[max(0, i - 4) : i + 4]) and plausible(text[a:b], kind):
             out.append((a, kind, b))
     return sorted(out)
 
@@ -365,26 +434,53 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def fit(docs: DataFrame) -> Tagger:
-    """Trains on windows of a bounded sample of documents, labelled by the patterns and by made-up spans."""
-    rows = docs.where(F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(5), "doc_id").alias("h"))
-    texts = [r.text for r in rows.where(F.length("text") <= 20_000).orderBy("h", "text").limit(TRAIN_DOCS).collect()]
-    return train(*labelled_windows(texts))
+def sample(docs: DataFrame, n: int = TRAIN_DOCS, salt: int = 5) -> list[tuple[str, bytes]]:
+    """Pieces of the n documents whose ids and texts hash lowest: n * TRAIN_PIECES of WINDOW characters at most.
+
+    Texts of any length take part, and are cut where they are; only pieces go to the driver.  Of
+    rows that repeat one is taken; null and empty texts give no pieces.
+    """
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(salt), "doc_id", "text").alias("h")).where(F.length("text") > 0)
+    total = rows.count()
+    if not total:
+        return []
+    # hashes are even: about 2 n of the rows lie below this, and n of them at least but for a chance of e ** (-n / 4)
+    below = -(2**63) + min(2**64 - 1, int(2**64 * 2 * n / total))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(h, k, *piece) for h, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for k, piece in enumerate(pieces_of(text.as_py()))]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary())], names=["h", "k", "piece", "marks"])
+
+    some = rows.where(F.col("h") <= below).groupBy("h").agg(F.first("text").alias("text"))
+    got = sorted((r.h, r.k, r.piece, bytes(r.marks)) for r in some.mapInArrow(cut, "h long, k int, piece string, marks binary").collect())
+    hashes = sorted({h for h, *_ in got})[:n]
+    return [(piece, marks) for h, _, piece, marks in got if h <= hashes[-1]]
+
+
+def fit(docs: DataFrame) -> Tagger | None:
+    """Trains on windows of a bounded sample of documents (see sample()), labelled by the patterns and by made-up spans.
+
+    None, which adds no spans, where no document has a text.
+    """
+    return train(*labelled_windows(sample(docs)))
 
 
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
 
-def find(docs: DataFrame, model: Tagger) -> DataFrame:
+def find(docs: DataFrame, model: Tagger | None) -> DataFrame:
     """Per row: doc_id, numbers of base spans by kind, base_sha256, all spans, and how many the model added.
 
     Whole texts are searched; offsets are code points.  A null or empty text has no spans.  Rows
-    that repeat are searched each; columns other than doc_id and text are not read.
+    that repeat are searched each; columns other than doc_id and text are not read.  Without a
+    model the base spans are all; an empty table gives an empty result.
     """
-    arrays = model.arrays()
+    arrays = model.arrays() if model else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(Tagger.of(arrays))
+        decoder = Decoder(Tagger.of(arrays)) if arrays else None
         for batch in batches:
             ids, column = batch.column(0).to_pylist(), batch.column(1)
             at = 0
@@ -394,7 +490,7 @@ def find(docs: DataFrame, model: Tagger) -> DataFrame:
                     texts.append(column[at + len(texts)].as_py() or "")
                     size += len(texts[-1])
                 rows = []
-                for text, added in zip(texts, decoder.tag(texts), strict=True):
+                for text, added in zip(texts, decoder.tag(texts) if decoder else [[]] * len(texts), strict=True):
                     base = base_spans(text)
                     every = reconcile(text, base, added) if added else base
                     kinds = [k for _, k, _ in base]
