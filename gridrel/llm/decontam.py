@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridrel.llm.common import stash, text_key
+from gridrel.llm.common import spread_join, stash, text_key
 
 #: A word is a run of ASCII letters and digits and of characters from U+0080 on.  The class lists
 #: single characters, which the JVM keeps as one bit set; it tests ranges one after another.
 WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Windows up to so many, with their words, go to every task; more are joined by a shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Windows up to so many, with their words, go to every task; of more, the prefix words meet the
+#: documents' words in a shuffle, in which a word has SALT keys.
+BROADCAST_WINDOWS, SALT = 200_000, 16
+#: Stands for a null doc_id where rows are joined by it.
+NO_ID = -(2**63)
 
 
 def words(text: str | Column) -> Column:
@@ -46,26 +49,49 @@ def _found(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     small = F.broadcast if few else (lambda df: df)
     # lower() may fold more than A-Z: it only makes candidates, the comparison is exact
     vocabulary = wins.select(F.explode("window").alias("w")).select(F.lower("w").alias("key")).distinct()
-    tokens = docs.select(F.explode_outer(words("text")).alias("w")).select(F.lower("w").alias("key"))
-    counts = stash(tokens.join(small(vocabulary), "key", "left_semi").groupBy("key").count(), "rarity")
+    tokens = docs.select(F.explode(words("text")).alias("w")).select(F.lower("w").alias("key"))
+    counts = (tokens.join(small(vocabulary), "key", "left_semi") if few else tokens).groupBy("key").count()
+    counts = stash(counts if few else counts.join(vocabulary, "key", "left_semi"), "rarity")
     ranked = wins.select("window", "items", F.posexplode("window").alias("place", "w")).withColumn("key", F.lower("w")).join(small(counts), "key")
     # a window with a word that no document holds occurs nowhere
     prefix = ranked.groupBy("window", "items").agg(F.count("*").alias("n"), F.min_by(F.struct("key", "place"), F.struct("count", "key", "place")).alias("p")).where(F.col("n") == F.size("window"))
-    prefix = prefix.select(F.col("p.key").alias("key"), F.col("p.place").alias("place"), F.array_join("window", " ").alias("window"), F.size("window").alias("length"), "items")
+    prefix = stash(prefix.select(F.col("p.key").alias("key"), F.col("p.place").alias("place"), F.array_join("window", " ").alias("window"), F.size("window").alias("length"), "items"), "prefix")
+    return _met_everywhere(docs, prefix) if few else _met_by_shuffle(docs, prefix)
+
+
+def _same(begin: Column, size: Column) -> Column:
+    """The window begins at that word of doc_words, of which there are so many, and its words stand there."""
+    # one string against another: this stays in generated code, so that no row with doc_words is copied
+    return (begin >= 0) & (begin + F.col("length") <= size) & (ascii_lower(F.array_join(F.slice("doc_words", begin + 1, F.col("length")), " ")) == F.col("window"))
+
+
+def _met_everywhere(docs: DataFrame, prefix: DataFrame) -> DataFrame:
+    """Every task has all prefixes: one pass over the documents."""
     # one more key, the empty word, meets the place past the last word of each row of docs
     whole = docs.sparkSession.range(1).select(F.lit("").alias("key"), *[F.lit(None).cast(t).alias(c) for c, t in (("place", "int"), ("window", "string"), ("length", "int"), ("items", "array<string>"))])
-    prefix = stash(prefix.unionByName(whole), "prefix")
     at = docs.select(F.col("doc_id"), text_key().alias("th"), F.concat(words("text"), F.array(F.lit(""))).alias("doc_words"))
     # outer: else the words would be extracted once more, for a filter of empty arrays
     at = at.select("doc_id", "th", "doc_words", F.posexplode_outer("doc_words").alias("pos", "w")).withColumn("key", F.lower("w"))
-    begin, end = F.col("pos") - F.col("place"), F.col("length")
-    inside = (begin >= 0) & (begin + end < F.size("doc_words"))
-    # one string against another: this stays in generated code, so that no row with doc_words is copied
-    same = ascii_lower(F.array_join(F.slice("doc_words", begin + 1, end), " ")) == F.col("window")
-    found = at.join(small(prefix), "key").where(F.col("place").isNull() | (inside & same))
+    begin = F.col("pos") - F.col("place")
+    found = at.join(F.broadcast(prefix.unionByName(whole)), "key").where(F.col("place").isNull() | _same(begin, F.size("doc_words") - 1))
     return found.select("doc_id", "th", begin.alias("at"), F.coalesce("length", "pos").alias("length"), "items")
 
 
+def _met_by_shuffle(docs: DataFrame, prefix: DataFrame) -> DataFrame:
+    """Only places and words are shuffled to meet the prefixes; a document's words are fetched once, for its candidates."""
+    rows = docs.select("doc_id", text_key().alias("th"), words("text").alias("doc_words"))
+    key = lambda df: df.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    salt = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALT))
+    places = rows.select("doc_id", "th", F.posexplode("doc_words").alias("pos", "w")).select("doc_id", "th", "pos", F.lower("w").alias("key"), salt.alias("salt"))
+    salted = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    begin = (F.col("pos") - F.col("place")).alias("at")
+    near = key(places.join(salted, ["key", "salt"]).where(F.col("pos") >= F.col("place")).select("doc_id", "th", begin, "length", "window", "items")).drop("doc_id").distinct()
+    one = key(rows).groupBy("doc", "th").agg(F.first("doc_words").alias("doc_words"), F.first("doc_id").alias("doc_id"))
+    found = near.join(one.hint("merge"), ["doc", "th"]).where(_same(F.col("at"), F.size("doc_words"))).select("doc_id", "th", "at", "length", "items")
+    none = F.lit(None)
+    return found.unionByName(rows.select("doc_id", "th", none.cast("int").alias("at"), F.size("doc_words").alias("length"), none.cast("array<string>").alias("items")))
+
+
 def _covered(spans: str) -> Column:
     """Number of places in the union of sorted (at, length) spans."""
     zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
@@ -99,15 +125,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
-    """The rows of docs that are not contaminated, with their own columns."""
-    found = contamination_keys(docs, benchmark, size, share)
-    bad = found.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__doc")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__th")), "left_anti")
+    """The rows of docs, with their own columns, that hold no passage of the benchmark.
+
+    A row goes if a window of `size` words occurs anywhere in it, however long it is, or if the
+    windows of shorter items cover a share of one in `share` of its words.  Rows that repeat a
+    doc_id, or have none, are judged by their own texts; null and empty texts stay; rows that
+    repeat stay or go together.  An empty benchmark, or one without words, drops nothing.
+    """
+    bad = contamination_keys(docs, benchmark, size, share)
+    rows = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": text_key()})
+    bad = stash(bad.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"), F.col("th").alias("__th"), "copies", F.lit(True).alias("__bad")), "contaminated")
+    return spread_join(rows, bad.withColumnRenamed("copies", "__copies"), ["__doc", "__th"], "__copies").where(F.col("__bad").isNull()).select(docs.columns)
 
 
 def contamination_keys(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
-    """(doc_id, th) of the contaminated rows."""
+    """(doc_id, th, copies) of the rows that clean() drops."""
     spot = F.col("at").isNotNull()
-    grouped = _found(docs, benchmark, size).groupBy("doc_id", "th").agg(F.max(F.when(~spot, F.col("length"))).alias("n_words"), F.sort_array(F.collect_set(F.when(spot, F.struct("at", "length")))).alias("spans"))
+    grouped = _found(docs, benchmark, size).groupBy("doc_id", "th").agg(
+        F.count_if(~spot).alias("copies"), F.max(F.when(~spot, F.col("length"))).alias("n_words"), F.max(F.when(spot, F.col("length"))).alias("longest"),
+        F.sort_array(F.collect_set(F.when(spot, F.struct("at", "length")))).alias("spans"),
+    )
     n_hit = _covered("spans")
-    return grouped.where((n_hit > 0) & (share * n_hit >= F.col("n_words"))).select("doc_id", "th")
+    return grouped.where((F.col("longest") >= size) | ((n_hit > 0) & (share * n_hit >= F.col("n_words")))).select("doc_id", "th", "copies")
