@@ -7,7 +7,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,7 +22,7 @@ DEPTH, BUCKET = 3, 64
 #: all but a few in 10**6 agree in MAYBE of them; one that agrees in ALIKE with a leader stands behind it.
 SKETCH, MAYBE, ALIKE = 64, 0.55, 0.95
 #: Texts, and tokens, of a block of sets that are compared with those of another, and columns of their product at a time.
-BLOCK, BLOCK_TOKENS, COLUMNS = 512, 1 << 20, 1 << 13
+BLOCK, BLOCK_TOKENS, COLUMNS = 512, 1 << 19, 1 << 12
 #: Products of paths and tokens that are held at once, and bytes of a text that are split at once.
 CELLS, TURN = 1 << 20, 1 << 20
 #: Ids of texts that a task remembers to pass each only once.
@@ -217,30 +216,30 @@ def near(ids: list[bytes], sketches: np.ndarray) -> list[tuple[bytes, bytes]]:
     return [(ids[root[i]], ids[i]) for i in np.flatnonzero(root != np.arange(len(ids)))]
 
 
-def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Streams rows sorted by (bucket, part); a run of equal keys is one group."""
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams rows (bucket, part, id, sketch) sorted by the first two; a run of equal keys is one group."""
     held = None
     for more in batches:
-        now = more if held is None else pd.concat([held, more], ignore_index=True)
-        if not len(now):
+        now = pa.Table.from_batches([more]) if held is None else pa.concat_tables([held, pa.Table.from_batches([more])])
+        if not now.num_rows:
             continue
         b, p = now["bucket"].to_numpy(), now["part"].to_numpy()
         starts = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (p[1:] != p[:-1])])
-        held = now.iloc[starts[-1] :]
-        yield _groups(now.iloc[: starts[-1]], starts[:-1])
+        held = now.slice(int(starts[-1]))
+        yield _groups(now.slice(0, int(starts[-1])), starts[:-1])
     if held is not None:
         yield _groups(held, np.array([0]))
 
 
-def _groups(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+def _groups(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
     out: list[tuple[bytes, bytes]] = []
-    if len(rows):
-        ids = rows["id"].tolist()
-        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, SKETCH)
+    if rows.num_rows:
+        ids = rows["id"].to_pylist()
+        sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCH)
         for a, b in zip(starts, np.r_[starts[1:], len(ids)], strict=True):
             if b - a > 1:
                 out += near(ids[a:b], sketches[a:b])
-    return pd.DataFrame(out, columns=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
 def near_edges(done: DataFrame, sketches: DataFrame, spread: int = 4_096) -> DataFrame:
@@ -253,7 +252,7 @@ def near_edges(done: DataFrame, sketches: DataFrame, spread: int = 4_096) -> Dat
     meets = F.when(parts > 1, F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(mine, j) * 65536 + F.greatest(mine, j))).otherwise(F.array(F.lit(0)))
     rows = done.select("id", "bucket", F.explode(meets).alias("part")).join(sketches.select("id", "sketch"), "id")
     rows = rows.repartition(width, "bucket", "part").sortWithinPartitions("bucket", "part", "id")
-    return rows.select("bucket", "part", "id", "sketch").mapInPandas(_edges, "a binary, b binary").distinct()
+    return rows.select("bucket", "part", "id", "sketch").mapInArrow(_edges, "a binary, b binary").distinct()
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -279,13 +278,15 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 def _verify(similar: float):
     """Brute force over the buckets whose texts are in blocks i and j of a group: exact similarity of all pairs that met in one."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id").sort_values("id", ignore_index=True)
-        sets, ids = [np.frombuffer(t, np.uint64) for t in group["tokens"]], group["id"].tolist()
-        met = [np.asarray(m, np.int64) for m in group["met"]]
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        left = np.flatnonzero(group["block"].to_numpy() == i)
-        right = left if i == j else np.flatnonzero(group["block"].to_numpy() == j)
+    def run(group: pa.Table) -> pa.Table:
+        place = {id_: k for k, id_ in enumerate(group["id"].to_pylist())}  # a text may come more than once
+        ids = sorted(place)
+        rows = [place[id_] for id_ in ids]
+        sets = [np.frombuffer(group["tokens"][k].as_py(), np.uint64) for k in rows]
+        met = [np.asarray(group["met"][k].values) for k in rows]
+        i, j, block = group["i"][0].as_py(), group["j"][0].as_py(), group["block"].to_numpy()[rows]
+        left = np.flatnonzero(block == i)
+        right = left if i == j else np.flatnonzero(block == j)
         n = np.array([len(s) for s in sets], float)
         links, edges = np.zeros(len(ids), np.int64), []
         root = np.arange(len(ids))
@@ -307,7 +308,8 @@ def _verify(similar: float):
                         root[root == old] = new
                         edges.append((ids[k], ids[m], 0))
         rows = edges + [(ids[k], None, int(links[k])) for k in np.flatnonzero(links)]
-        return pd.DataFrame(rows, columns=["a", "b", "links"])
+        kinds = {"a": pa.binary(), "b": pa.binary(), "links": pa.int64()}
+        return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds.items())})
 
     return run
 
@@ -373,7 +375,7 @@ def similar_texts(docs: DataFrame, similar: float = SIMILAR, gram: int = GRAM, r
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     blocked = tokens.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocked = blocked.select("id", "tokens", "met", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = stash(blocked.groupBy("label", "i", "j").applyInPandas(_verify(similar), "a binary, b binary, links long"), "join-verified")
+    found = stash(blocked.groupBy("label", "i", "j").applyInArrow(_verify(similar), "a binary, b binary, links long"), "join-verified")
     free(paths, one, done, edges, coarse, held, some, sizes)
     links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     return components(found.where("b is not null")), links

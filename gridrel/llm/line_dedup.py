@@ -195,9 +195,9 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     dropped lines, null texts among them, are left as they are; other columns pass unchanged.
     """
 
-    @F.pandas_udf("string")
-    def rest(text, keep):
-        return type(text)([kept_lines(t, k)[2] for t, k in zip(text, keep, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def rest(text: pa.Array, keep: pa.Array) -> pa.Array:
+        return pa.array([kept_lines(t.as_py(), k.as_py())[2] for t, k in zip(text, keep, strict=True)], pa.string())
 
     joined = _with_bitmaps(docs, bitmaps)
     out = joined.withColumn("text", F.when(F.col("__keep").isNull(), F.col("text")).otherwise(rest("text", "__keep")))

@@ -154,9 +154,9 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))  # 2**BITS floats
 
-    @F.pandas_udf("double")
-    def of(text):
+    @F.arrow_udf("double")
+    def of(text: pa.Array) -> pa.Array:
         m = Model(*sent.value)
-        return type(text)([m.score(t) for t in text], dtype="float64")
+        return pa.array([m.score(t.as_py()) for t in text], pa.float64())
 
     return docs.withColumn(name, of(F.col("text").cast("string")))
