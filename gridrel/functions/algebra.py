@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 EPS = 1e-10
 #: Calibration offset (dB), epoch of delta_time (ms), metres per degree.
 PALSAR_OFFSET, DELTA_EPOCH_MS, M_LAT, M_LON = 83.0, 1_514_764_800_000, 110_540.0, 111_320.0
-FULL_POWER_BEAMS = ("5", "6", "7", "8", "BEAM0101", "BEAM0110", "BEAM1000", "BEAM1011")
+FULL_POWER_BEAMS = ("5", "6", "8", "11", "BEAM0101", "BEAM0110", "BEAM1000", "BEAM1011")
 
 
 def col(c: Column | str) -> Column:
@@ -123,15 +123,24 @@ def to_uint8(x) -> Column:
     return F.coalesce(F.floor(clip(col(x), 0.0, 1.0) * 255), F.lit(0)).cast("int")
 
 
+def colour(x, lo, hi, table: list[tuple[int, int, int]] | None = None) -> Column:
+    """STRUCT<r, g, b, a> of x between lo and hi in a table of 256 colours (shades of grey without one); clear where x is missing."""
+    table = table or [(k, k, k) for k in range(256)]
+    place = F.least(F.floor(stretch(x, lo, hi) * 256), F.lit(255)).cast("int") + 1
+    parts = [F.element_at(F.array(*[F.lit(c[k]) for c in table]), place).alias(n) for k, n in enumerate("rgb")]
+    return F.struct(*parts, F.when(col(x).isNull(), 0).otherwise(255).alias("a"))
+
+
 def utm_epsg(lon, lat) -> Column:
     return (F.when(col(lat) >= 0, 32600).otherwise(32700) + F.floor((col(lon) + 180) / 6) + 1).cast("int")
 
 
 def h_alpha_zone(entropy, alpha) -> Column:
-    """Zones 1 to 9 of the entropy-alpha plane."""
+    """Zones 1 to 9 of the entropy-alpha plane: by entropy first, and by alpha inside, both upwards (1: surfaces, 9: random scatter); NULL without both."""
     h, a = col(entropy), col(alpha)
-    row = lambda lo, hi, zones: F.when(a >= hi, zones[0]).when(a >= lo, zones[1]).otherwise(zones[2])
-    return F.when(h < 0.5, row(42.5, 47.5, (7, 8, 9))).when(h < 0.9, row(42.5, 47.5, (4, 5, 6))).otherwise(row(42.5, 47.5, (1, 2, 3)))
+    row = F.when(h < 0.5, 0).when(h < 0.9, 1).otherwise(2)
+    place = F.when(a < 42.5, 1).when(a < 47.5, 2).otherwise(3)
+    return F.when(h.isNotNull() & a.isNotNull(), 3 * row + place)
 
 
 def human_size(n) -> Column:
@@ -143,8 +152,8 @@ def human_size(n) -> Column:
 
 
 def tile_id(west, south) -> Column:
-    """Signed fixed-width text: + becomes p, - becomes m."""
-    return F.translate(F.concat(F.format_string("%+08.3f", col(west)), F.lit("_"), F.format_string("%+08.3f", col(south))), "+-", "pm")
+    """Signed fixed-width text of the south-west corner, to four decimals: + becomes p, - becomes m."""
+    return F.translate(F.concat(F.format_string("x%+09.4f", col(west)), F.format_string("_y%+09.4f", col(south))), "+-", "pm")
 
 
 def bbox_wkt(w, s, e, n) -> Column:

@@ -86,8 +86,15 @@ def parse_bbox_text(text) -> Column:
 
 
 def geojson_envelopes(df: DataFrame, id_: str, geojson: str) -> DataFrame:
-    """Envelope per row of GeoJSON text, without a UDF: all [x, y pairs of the coordinates are taken by pattern."""
-    xy = F.regexp_extract_all(geojson, F.lit(r"\[\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?\s*,\s*-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"), 1)
+    """Envelope per row of GeoJSON text, without a UDF: positions are taken from coordinates only, of any depth.
+
+    Properties, boxes and the like are not read.  Geometries, Features and collections of both
+    are known; a row without coordinates has no envelope.
+    """
+    inner = ("", ".geometries[*]")
+    places = [f"$.{a}{g}.coordinates".replace("..", ".") for a in ("", "geometry", "features[*].geometry") for g in inner]
+    found = F.concat_ws(" ", *[F.get_json_object(geojson, p) for p in places])
+    xy = F.regexp_extract_all(found, F.lit(r"\[\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?\s*,\s*-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"), 1)
     pts = df.select(id_, F.explode(xy).alias("p")).select(id_, F.split("p", ",").alias("p"))
     x, y = F.trim(F.col("p")[0]).cast("double"), F.trim(F.col("p")[1]).cast("double")
     return pts.groupBy(id_).agg(F.min(x).alias("west"), F.min(y).alias("south"), F.max(x).alias("east"), F.max(y).alias("north"))
@@ -124,6 +131,72 @@ def utm_forward(lon, lat, epsg) -> dict[str, Column]:
     return {"easting": _E0 + _K0 * _RECT * x, "northing": F.when(south, 10_000_000.0).otherwise(0.0) + _K0 * _RECT * y}
 
 
+#: The way back of the same series.
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+
+
+def utm_inverse(easting, northing, epsg) -> dict[str, Column]:
+    """Longitude and latitude of a place in a zone of EPSG 326xx or 327xx."""
+    easting, northing, epsg = map(col, (easting, northing, epsg))
+    zone, south = epsg % 100, (F.floor(epsg / 100) % 10) == 7
+    xi0 = (northing - F.when(south, 10_000_000.0).otherwise(0.0)) / (_K0 * _RECT)
+    eta0 = (easting - _E0) / (_K0 * _RECT)
+    xi, eta = xi0, eta0
+    for j, b in enumerate(_BETA, 1):
+        xi = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
+        eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    phi = chi
+    for j, d in enumerate(_DELTA, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return {"lon": zone * 6 - 183 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), "lat": F.degrees(phi)}
+
+
+def latlon_bounds(a, c0, e, f0, height, width, epsg) -> dict[str, Column]:
+    """South, west, north, east of a raster's two corners (its first and its last) in degrees."""
+    a, c0, e, f0, height, width = (F.lit(v) if isinstance(v, int | float) else col(v) for v in (a, c0, e, f0, height, width))
+    epsg = F.lit(epsg) if isinstance(epsg, int) else col(epsg)
+    first, last = utm_inverse(c0, f0 + height * e, epsg), utm_inverse(c0 + width * a, f0, epsg)
+    return {"south": first["lat"], "west": first["lon"], "north": last["lat"], "east": last["lon"]}
+
+
+def project(lon: float, lat: float, epsg: int) -> tuple[float, float]:
+    """One place in the projection of an EPSG code (4326, 326xx or 327xx), on the driver; ValueError for others."""
+    if epsg == 4326:
+        return lon, lat
+    if epsg // 100 not in (326, 327) or not 1 <= epsg % 100 <= 60:
+        raise ValueError(f"EPSG {epsg} is neither 4326 nor a UTM zone")
+    dl, phi, e = math.radians(lon - (epsg % 100 * 6 - 183)), math.radians(lat), 2 * math.sqrt(_N) / (1 + _N)
+    t = math.sinh(math.atanh(math.sin(phi)) - e * math.atanh(e * math.sin(phi)))
+    xi, eta = math.atan2(t, math.cos(dl)), math.atanh(math.sin(dl) / math.sqrt(1 + t * t))
+    x = eta + sum(a * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))
+    y = xi + sum(a * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))
+    return _E0 + _K0 * _RECT * x, (1e7 if epsg // 100 == 327 else 0.0) + _K0 * _RECT * y
+
+
+def pixel_window(x, y, epsg: int, bbox: BBox) -> tuple[int, int, int, int]:
+    """(row start, row stop, column start, column stop) of the pixel centres inside a box in degrees, edges included.
+
+    x ascends, y ascends or descends; the box is projected by its two corners.  ValueError if no centre lies inside.
+    """
+    w, s, e, n = validate_bbox(bbox)
+    (x0, y0), (x1, y1) = project(w, s, epsg), project(e, n, epsg)
+    cols = [i for i, v in enumerate(x) if x0 <= v <= x1]
+    rows = [i for i, v in enumerate(y) if y0 <= v <= y1]
+    if not cols or not rows:
+        raise ValueError(f"the box {bbox} meets no pixel of the product")
+    return rows[0], rows[-1] + 1, cols[0], cols[-1] + 1
+
+
+def geojson_features(df: DataFrame, geojson: str, fields: list[str]) -> DataFrame:
+    """A row for each feature of collections of points: lon, lat and the named properties as text; what is missing is NULL."""
+    feature = "struct<geometry:struct<coordinates:array<double>>,properties:map<string,string>>"
+    rows = df.select(F.explode(F.from_json(F.get_json_object(geojson, "$.features"), f"array<{feature}>")).alias("f"))
+    xy = F.col("f.geometry.coordinates")
+    return rows.select(F.get(xy, F.lit(0)).alias("lon"), F.get(xy, F.lit(1)).alias("lat"), *[F.try_element_at("f.properties", F.lit(k)).alias(k) for k in fields])
+
+
 def pixel_centre(row, c, a: float, c0: float, e: float, f0: float) -> dict[str, Column]:
     """Affine pixel centres: origin c0, f0 at the corner, steps a, e."""
     return {"x": c0 + (col(c) + 0.5) * a, "y": f0 + (col(row) + 0.5) * e}

@@ -126,15 +126,18 @@ def ci_band(df: DataFrame, x: str, fit: DataFrame, n: int, alpha: float = 0.05,
     return grid.select(F.col("id").cast("int").alias("i"), "x", y.alias("y"), (y - t * se).alias("lower"), (y + t * se).alias("upper"))
 
 
-def binned_medians(df: DataFrame, x: str, y: str, bins: int = 7, least: int = 3) -> DataFrame:
-    """Median and quartiles of y in quantile bins of x, left-closed, the last closed; NULL for bins of fewer than `least`."""
+def binned_medians(df: DataFrame, x: str, y: str, bins: int = 7, least: int = 3, rows: int = 30) -> DataFrame:
+    """Centre, median and quartiles of y in quantile bins of x, left-closed, the last closed; NULL for bins of fewer than `least`.
+
+    No bins for fewer than `rows` points, or fewer than three distinct edges.
+    """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
     edges = F.array_sort(F.array_distinct(F.percentile("x", F.array(*[F.lit(k / bins) for k in range(bins + 1)]))))
-    both = both.crossJoin(F.broadcast(both.agg(edges.alias("e"))))
+    both = both.crossJoin(F.broadcast(both.agg(edges.alias("e"), F.count("*").alias("points")))).where((F.col("points") >= rows) & (F.size("e") >= 3))
     at = F.least(F.size(F.filter("e", lambda v: v <= F.col("x"))), F.size("e") - 1)
     keep = F.count("*") >= least
     q = lambda p: F.when(keep, F.percentile("y", p))
-    return both.withColumn("bin", at.cast("int")).groupBy("bin").agg(F.count("*").alias("n"), q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"))
+    return both.withColumn("bin", at.cast("int")).withColumn("centre", (F.element_at("e", F.col("bin")) + F.element_at("e", F.col("bin") + 1)) / 2).groupBy("bin").agg(F.first("centre").alias("centre"), F.count("*").alias("n"), q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 100) -> DataFrame:

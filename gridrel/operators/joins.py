@@ -18,12 +18,13 @@ def distance_join(pre: DataFrame, post: DataFrame, radius: float, keys: tuple[st
 
     Both sides are keyed by grid cells of one radius and the right side is sent to the nine cells
     around it: a hash join on the cell, never a nested loop.  With keys (a tile), pairs stay
-    within equal keys.  The plane's latitude is the mean over both sides.
+    within equal keys.  The plane's latitude is the mean over both sides, of each tile by itself.
     """
-    lat0 = F.broadcast(pre.select("lat").unionByName(post.select("lat")).agg(F.avg("lat").alias("__lat0")))  # one row
+    every = pre.select(*keys, "lat").unionByName(post.select(*keys, "lat"))
+    lat0 = every.groupBy(*keys).agg(F.avg("lat").alias("__lat0"))  # one row, or one a tile
 
     def placed(df: DataFrame) -> DataFrame:
-        return metres(df.crossJoin(lat0), F.col("__lat0")).drop("__lat0").withColumn("gx", F.floor(F.col("x") / radius)).withColumn("gy", F.floor(F.col("y") / radius))
+        return metres(df.join(lat0, list(keys)) if keys else df.crossJoin(F.broadcast(lat0)), F.col("__lat0")).drop("__lat0").withColumn("gx", F.floor(F.col("x") / radius)).withColumn("gy", F.floor(F.col("y") / radius))
 
     a = placed(pre)
     b = placed(post).withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("gx", F.col("gx") + F.floor(F.col("__o") / 3) - 1).withColumn("gy", F.col("gy") + F.col("__o") % 3 - 1).drop("__o")
@@ -115,6 +116,10 @@ def keep_first(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def free_labels(rows: DataFrame, label: str, order: str) -> DataFrame:
-    """Labels that clash get the suffix _2, _3 and so on, in order."""
+    """Labels that clash get the suffix _2, _3 and so on, in order; suffixes that make a label of another row are passed over."""
     n = F.row_number().over(Window.partitionBy(label).orderBy(order))
-    return rows.withColumn(label, F.when(n == 1, F.col(label)).otherwise(F.concat_ws("_", label, n.cast("string"))))
+    parts = rows.select(F.col(label).alias("__whole")).distinct().select(F.regexp_extract("__whole", "^(.*)_[0-9]+$", 1).alias(label), F.regexp_extract("__whole", "_([0-9]{1,9})$", 1).try_cast("long").alias("__t"))
+    used = parts.where("__t is not null").groupBy(label).agg(F.collect_set("__t").alias("__used"))
+    out = rows.withColumn("__n", n).join(used, label, "left").withColumn("__used", F.coalesce("__used", F.array().cast("array<bigint>")))
+    free = F.element_at(F.array_except(F.sequence(F.lit(2).cast("long"), F.col("__n") + F.size("__used")), "__used"), (F.col("__n") - 1).cast("int"))
+    return out.withColumn(label, F.when(F.col("__n") == 1, F.col(label)).otherwise(F.concat_ws("_", label, free.cast("string")))).select(rows.columns)

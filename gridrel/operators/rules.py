@@ -89,20 +89,36 @@ def error_kind(message: str) -> Column:
     return F.when(F.lower(message).contains("memory"), "memory_error").otherwise("ee_error")
 
 
-def stratified_sample(df: DataFrame, fit: DataFrame, x: str, y: str, id_: str, n: int, seed: int = 0) -> DataFrame:
-    """(id, stratum): up to n rows of the strata signal, noise and false_alarm, then random ones.
-
-    Strata are taken in turn and never twice.  signal: least y and residual near 0; noise: most
-    positive residual; false_alarm: most negative residual.  The random rest is in hash order.
+def stratified_sample(df: DataFrame, fit: DataFrame, x: str, y: str, id_: str, n: int, seed: int = 0, exclude: DataFrame | None = None) -> DataFrame:
+    """(stratum, id): a typical row of each of signal, noise and false_alarm, and random ones up to n rows.
+
+    Residuals are those of the fit; rows named by exclude (its column id_) are left out before
+    the cuts are made.  signal: x and y both in their lowest fifths; noise: |x| in its lowest two
+    fifths, y in its lowest fifth; false_alarm: x in its lowest fifth, y at least its median.
+    Each gives the row nearest its median residual (ties to the smaller id), and a row serves
+    once.  A stratum without rows is left out, and one more row is random: random_1 and so on,
+    in hash order.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).crossJoin(F.broadcast(fit.select("slope", "intercept")))
-    rows = rows.select(F.col(id_).alias("id"), F.col(y).alias("y"), (F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)).alias("res"))
-    cuts = F.broadcast(rows.agg(F.percentile("y", F.lit(0.25)).alias("y25"), F.percentile("res", F.lit(0.1)).alias("r10"), F.percentile("res", F.lit(0.9)).alias("r90"), F.median("res").alias("rm")))
-    rows = rows.crossJoin(cuts)
-    stratum = F.when((F.col("y") <= F.col("y25")) & F.col("res").between(F.col("r10"), F.col("r90")), "signal").when(F.col("res") >= F.col("r90"), "noise").when(F.col("res") <= F.col("r10"), "false_alarm").otherwise("random")
-    order = F.when(stratum == "random", F.xxhash64(F.lit(seed), "id").cast("double")).otherwise(F.abs(F.col("res") - F.col("rm")))
-    ranked = rows.select("id", stratum.alias("stratum"), order.alias("o")).withColumn("k", F.row_number().over(Window.partitionBy("stratum").orderBy("o", "id")))
-    return ranked.where(F.col("k") <= n).select("id", "stratum", F.col("k").cast("int").alias("k"))
+    rows = rows.select(F.col(id_).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), (F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)).alias("res"))
+    if exclude is not None:
+        rows = rows.join(exclude.select(F.col(id_).alias("id")).distinct(), "id", "left_anti")
+    cut = lambda c, p: F.percentile(c, F.lit(p))
+    rows = rows.crossJoin(F.broadcast(rows.agg(cut("x", 0.2).alias("x20"), cut("y", 0.2).alias("y20"), cut(F.abs("x"), 0.4).alias("a40"), cut("y", 0.5).alias("y50"))))
+    low_x, low_y = F.col("x") <= F.col("x20"), F.col("y") <= F.col("y20")
+    strata = {"signal": low_x & low_y, "noise": (F.abs("x") <= F.col("a40")) & low_y, "false_alarm": low_x & (F.col("y") >= F.col("y50"))}
+    picks: list[tuple[str, int]] = []
+    for name, rule in strata.items():
+        some = rows.where(rule & ~F.col("id").isin([i for _, i in picks]) if picks else rule)
+        near = some.crossJoin(F.broadcast(some.agg(F.median("res").alias("m"))))
+        best = near.agg(F.min(F.struct(F.abs(F.col("res") - F.col("m")).alias("d"), "id")).alias("b")).first()  # one row
+        if best.b is not None:
+            picks.append((name, best.b.id))
+    fixed = df.sparkSession.createDataFrame(picks, f"stratum string, id {rows.schema['id'].dataType.simpleString()}")
+    rest = rows.where(~F.col("id").isin([i for _, i in picks])) if picks else rows
+    rest = rest.select("id").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max(0, n - len(picks)))
+    k = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "id"), "id"))  # n rows at most
+    return fixed.unionByName(rest.select(F.concat(F.lit("random_"), k.cast("string")).alias("stratum"), "id"))
 
 
 def median_row(df: DataFrame, value: str, id_: str) -> DataFrame:

@@ -125,14 +125,15 @@ def refined_lee(df: DataFrame, shape: tuple[int, int], size: int = 7, value: str
 
 
 def contrast_homogeneity(df: DataFrame, shape: tuple[int, int], size: int = 11, value: str = "value") -> DataFrame:
-    """Local standard deviation over mean, and homogeneity; windows end at the image's border."""
+    """Local standard deviation of present pixels, and homogeneity; windows end at the image's border, missing pixels stay missing."""
     v = F.col(value)
     s = box_sums(df, {"s": v, "q": v * v}, shape, size, "truncate")
     n = F.nullif(F.col("n_s"), F.lit(0))
     mean = F.col("s") / n
     sd = F.sqrt(F.greatest(F.col("q") / n - mean * mean, F.lit(0.0)))
     ratio = sd / (mean + EPS)
-    return s.select("row", "col", sd.alias("contrast"), (1 / (1 + ratio)).alias("homogeneity"))
+    out, there = df.select("row", "col", v.alias("v")).join(s, ["row", "col"]), F.col("v").isNotNull()
+    return out.select("row", "col", F.when(there, sd).alias("contrast"), F.when(there, 1 / (1 + ratio)).alias("homogeneity"))
 
 
 def disk(radius: int) -> list[tuple[int, int]]:

@@ -22,12 +22,12 @@ RELATIONS: dict[str, str] = {
         FROM (SELECT CAST(l_orderkey % 32 AS INT) AS r, CAST(l_partkey % 32 AS INT) AS c, l_extendedprice / 1e5 * cos({_A}) AS x1, l_extendedprice / 1e5 * sin({_A}) AS y1,
         l_quantity / 1e2 * cos({_B}) AS x2, l_quantity / 1e2 * sin({_B}) AS y2, l_extendedprice * (1 - l_discount) / 1e5 * cos({_B}) AS x3, l_extendedprice * (1 - l_discount) / 1e5 * sin({_B}) AS y3 FROM {{lineitem}}) k GROUP BY r, c""",
     "shots": """SELECT o_orderkey AS id, (o_totalprice - floor(o_totalprice / 1000) * 1000) / 1000 * 0.05e0 AS lon, (7 * o_totalprice - floor(7 * o_totalprice / 977) * 977) / 977 * 0.05e0 AS lat,
-        CAST(o_custkey % 2 AS INT) AS side, round(o_totalprice / 1000, 6) AS agbd, CAST(o_orderkey % 7 AS INT) AS quality, CAST(o_orderkey % 13 AS INT) AS degrade FROM {orders}""",
+        CAST(o_custkey % 2 AS INT) AS side, round(o_totalprice / 1000, 6) AS agbd, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 END AS quality, CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS degrade FROM {orders}""",
     "scenes": "SELECT event_id AS scene_id, {ms(ts)} AS scene_ms, user_id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'A' ELSE 'D' END AS pass, CAST(event_id % 5 AS INT) AS path, event_id % 3 <> 0 AS has_hv FROM {events} WHERE event_type = 'purchase'",
-    "targets": "SELECT event_id AS target_id, {ms(ts)} AS ms, user_id, CAST(event_id % 5 AS INT) AS path FROM {events} WHERE event_type = 'click'",
+    "targets": "SELECT event_id AS target_id, {ms(ts)} AS ms, user_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(event_id % 5 AS INT) END AS path, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'A' ELSE 'D' END AS pass FROM {events} WHERE event_type = 'click'",
     "pairs": """SELECT o_orderkey AS pair_id, round(o_totalprice / 1000, 6) AS pre_agbd, CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE round(o_totalprice / 1100 + c_acctbal / 500, 6) END AS post_agbd,
         0.9e0 + CAST(o_orderkey % 10 AS DOUBLE) / 100 AS pre_sensitivity, 0.9e0 + CAST(o_custkey % 10 AS DOUBLE) / 100 AS post_sensitivity,
-        CAST(o_orderkey % 9 AS VARCHAR(9)) AS pre_beam, CAST(o_custkey % 9 AS VARCHAR(9)) AS post_beam, CAST(o_orderkey % 3 AS VARCHAR(9)) AS pre_AntennaPointing, CAST(o_custkey % 3 AS VARCHAR(9)) AS post_AntennaPointing,
+        CAST(o_orderkey % 13 AS VARCHAR(9)) AS pre_beam, CAST(o_custkey % 13 AS VARCHAR(9)) AS post_beam, CAST(o_orderkey % 3 AS VARCHAR(9)) AS pre_AntennaPointing, CAST(o_custkey % 3 AS VARCHAR(9)) AS post_AntennaPointing,
         CAST(o_orderkey % 4 AS VARCHAR(9)) AS pre_BeamID, CAST(o_custkey % 4 AS VARCHAR(9)) AS post_BeamID,
         CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(4000 + o_custkey % 997 AS DOUBLE) END AS pre_HH_dn, CAST(3900 + o_orderkey % 991 AS DOUBLE) AS post_HH_dn,
         CAST(1500 + o_custkey % 499 AS DOUBLE) AS pre_HV_dn, CASE WHEN o_orderkey % 23 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(1400 + o_orderkey % 503 + o_totalprice / 5000 AS DOUBLE) END AS post_HV_dn,

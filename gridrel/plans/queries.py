@@ -13,6 +13,7 @@ from gridrel.functions import algebra as A
 from gridrel.functions import geo as G
 from gridrel.operators import aggregate as AG
 from gridrel.operators import joins as J
+from gridrel.operators import pairs as PP
 from gridrel.operators import polsar as P
 from gridrel.operators import rgb, rules
 from gridrel.operators import window2d as W
@@ -119,8 +120,7 @@ def _(c):
 
 @query("px_summary_crop", "SELECT count(*) AS n, avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) AS missing, min(v) AS lo, max(v) AS hi, avg(v) AS mean FROM hole WHERE r BETWEEN 8 AND 23 AND c BETWEEN 8 AND 23", "missing lo hi mean", "hole")
 def _(c):
-    crop = c.hole.where(F.col("row").between(8, 23) & F.col("col").between(8, 23))
-    return crop.agg(F.count("*").alias("n"), F.avg(F.col("value").isNull().cast("double")).alias("missing"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"))
+    return PP.centre(c.hole, SHAPE, 16).agg(F.count("*").alias("n"), PP.missing_share("value").alias("missing"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"))
 
 
 @query("px_bbox_window", f"SELECT {RC}, 425000 + (c + 0.5) * 30 AS x, 4515000 - (r + 0.5) * 30 AS y, hh FROM px WHERE 425000 + (c + 0.5) * 30 BETWEEN 425100 AND 425500 AND 4515000 - (r + 0.5) * 30 BETWEEN 4514400 AND 4514900", "x y hh", "px")
@@ -247,8 +247,8 @@ def _(c):
     return W.refined_lee(c.px, SHAPE, 7, "hh")
 
 
-@query("contrast_homogeneity", f"""SELECT {RC}, sqrt(greatest(q - m * m, 0)) AS contrast, 1 / (1 + sqrt(greatest(q - m * m, 0)) / (m + 1e-10)) AS homogeneity
-    FROM ({stencil_sql('hole', 'avg(b.v) AS m, avg(b.v * b.v) AS q', 5, 'truncate')})""", "contrast homogeneity", "hole")
+@query("contrast_homogeneity", f"""SELECT {RC}, CASE WHEN own IS NOT NULL THEN sqrt(greatest(q - m * m, 0)) END AS contrast, CASE WHEN own IS NOT NULL THEN 1 / (1 + sqrt(greatest(q - m * m, 0)) / (m + 1e-10)) END AS homogeneity
+    FROM ({stencil_sql('hole', 'avg(b.v) AS m, avg(b.v * b.v) AS q, any_value(a.v) AS own', 5, 'truncate')})""", "contrast homogeneity", "hole")
 def _(c):
     return W.contrast_homogeneity(c.hole, SHAPE, 5)
 
@@ -277,7 +277,7 @@ def _(c):
 @query("displacement", f"SELECT {RC}, atan2(a_im, a_re) AS phase, -0.24 * atan2(a_im, a_re) / (4 * pi()) AS los, -0.24 * (atan2(a_im, a_re) - b_re) / (4 * pi()) / cos(0.6) AS vertical FROM slc", "phase los vertical", "slc")
 def _(c):
     phi = A.phase("a_re", "a_im")
-    return c.slc.select("row", "col", phi.alias("phase"), A.displacement(phi).alias("los"), A.displacement(phi - F.col("b_re"), 0.24, F.lit(0.6)).alias("vertical"))
+    return c.slc.select("row", "col", phi.alias("phase"), A.displacement(phi).alias("los"), A.displacement(PP.without_ionosphere(phi, "b_re"), 0.24, F.lit(0.6)).alias("vertical"))
 
 
 _TSQL = """SELECT r, c, (c11 + c33) / 2 + c13_re AS t11, (c11 + c33) / 2 - c13_re AS t22, 2 * c22 AS t33, (c11 - c33) / 2 AS t12_re, -c13_im AS t12_im,
@@ -381,19 +381,19 @@ def _(c):
 
 @query("median_composite", f"SELECT {RC}, median(v) / 10000 AS value, count(v) AS n FROM cube WHERE t NOT IN (3, 8, 9, 10) GROUP BY r, c HAVING count(v) > 0", "value", "cube")
 def _(c):
-    keep = c.cube.where(~F.col("t").isin(3, 8, 9, 10))
+    keep = c.cube.where(PP.clear_pixel("t"))
     return keep.groupBy("row", "col").agg((F.median("value") / 10000).alias("value"), F.count("value").alias("n")).where("n > 0")
 
 
 # ---- spatial and temporal joins ----------------------------------------------------------------------------------
 
-_SIDES = """l AS (SELECT avg(lat) AS lat0 FROM shots WHERE quality <> 0 AND degrade <> 0),
-    s AS (SELECT *, lon * 111320 * cos(radians(lat0)) AS x, lat * 110540 AS y FROM shots, l WHERE quality <> 0 AND degrade <> 0)"""
+_SIDES = """l AS (SELECT avg(lat) AS lat0 FROM shots WHERE quality = 1 AND degrade = 0),
+    s AS (SELECT *, lon * 111320 * cos(radians(lat0)) AS x, lat * 110540 AS y FROM shots, l WHERE quality = 1 AND degrade = 0)"""
 _PAIRSQL = f"WITH {_SIDES} SELECT a.id AS pre_id, b.id AS post_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS distance_m, a.agbd AS pre_agbd, b.agbd AS post_agbd FROM s a JOIN s b ON a.side = 0 AND b.side = 1 AND b.x BETWEEN a.x - 25 AND a.x + 25 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 625"
 
 
 def _pairs25(c) -> DataFrame:
-    shots = c.shots.where("quality <> 0 AND degrade <> 0").select("id", "lon", "lat", "agbd", "side")
+    shots = c.shots.where(PP.good_shot()).select("id", "lon", "lat", "agbd", "side")
     return J.distance_join(shots.where("side = 0").drop("side"), shots.where("side = 1").drop("side"), 25.0)
 
 
@@ -447,10 +447,10 @@ def _(c):
 
 
 @query("exact_or_nearest", f"""SELECT t.target_id, coalesce(e.scene_id, n.scene_id) AS scene_id, e.scene_id IS NOT NULL AS is_exact FROM targets t
-    LEFT JOIN (SELECT target_id, min(scene_id) AS scene_id FROM targets t JOIN scenes s ON t.ms = s.scene_ms AND t.path = s.path GROUP BY 1) e USING (target_id)
-    LEFT JOIN (SELECT target_id, arg_min(scene_id, struct_pack(m := scene_ms, i := scene_id)) AS scene_id FROM targets t JOIN scenes s ON s.scene_ms BETWEEN t.ms - {DAY // 24} AND t.ms + {DAY // 24} GROUP BY 1) n USING (target_id)""", "", "targets scenes")
+    LEFT JOIN (SELECT target_id, min(scene_id) AS scene_id FROM targets t JOIN scenes s ON t.ms = s.scene_ms AND (t.path IS NULL OR t.path = s.path) AND (t.pass IS NULL OR t.pass = s.pass) GROUP BY 1) e USING (target_id)
+    LEFT JOIN (SELECT target_id, arg_min(scene_id, struct_pack(m := scene_ms, i := scene_id)) AS scene_id FROM targets t JOIN scenes s ON s.scene_ms >= t.ms - {DAY // 24} AND s.scene_ms < t.ms + {DAY // 24} AND (t.path IS NULL OR t.path = s.path) AND (t.pass IS NULL OR t.pass = s.pass) GROUP BY 1) n USING (target_id)""", "", "targets scenes")
 def _(c):
-    return C.exact_or_nearest(c.targets, c.scenes.select("scene_id", "scene_ms", F.col("path").alias("scene_path")), DAY // 24)
+    return C.exact_or_nearest(c.targets, c.scenes.select("scene_id", "scene_ms", F.col("path").alias("scene_path"), F.col("pass").alias("scene_pass")), DAY // 24)
 
 
 @query("point_to_raster", f"""WITH p AS (SELECT o_orderkey AS point_id, CAST(o_orderkey % 800 AS DOUBLE) + 0.5 AS px, CAST(o_custkey % 800 AS DOUBLE) + 0.5 AS py FROM orders),
@@ -470,9 +470,7 @@ def _(c):
 
 @query("tile_prescreen", "SELECT id, agbd FROM shots WHERE CAST(floor(lon / 0.01) AS INTEGER) IN (SELECT CAST(floor(lon / 0.01) AS INTEGER) FROM shots GROUP BY 1 HAVING bool_or(agbd > 480))", "agbd", "shots")
 def _(c):
-    cell = F.floor(F.col("lon") / 0.01).alias("cell")
-    hot = c.shots.groupBy(cell).agg(F.bool_or(F.col("agbd") > 480).alias("any")).where("any").select("cell")
-    return c.shots.withColumn("cell", cell).join(hot, "cell", "left_semi").select("id", "agbd")
+    return PP.disturbed_tiles(c.shots.withColumn("tile_id", F.floor(F.col("lon") / 0.01)), F.col("agbd") > 480).select("id", "agbd")
 
 
 @query("annotate_left", "SELECT pair_id, pre_agbd, CASE WHEN c_custkey IS NULL THEN NULL ELSE c_acctbal END AS post_agbd FROM pairs LEFT JOIN customer ON pair_id = c_custkey", "pre_agbd post_agbd", "pairs")
@@ -481,10 +479,10 @@ def _(c):
     return J.annotate(c.pairs.select("pair_id", "pre_agbd", "post_agbd"), notes, "pair_id")
 
 
-@query("keep_first_union", "SELECT k AS id, coalesce(a.v, b.v) AS v FROM (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 3 = 0) a FULL JOIN (SELECT o_orderkey AS k, -o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0) b USING (k)", "v")
+@query("keep_first_union", "SELECT o_orderkey AS id, coalesce(l.v, o_totalprice) AS v FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1 HAVING count(*) > 3) l ON o_orderkey = l_orderkey", "v")
 def _(c):
-    o = c.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
-    return J.keep_first(o.where("id % 3 = 0"), o.where("id % 2 = 0").withColumn("v", -F.col("v")), "id")
+    old = c.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum("l_extendedprice").alias("v"), F.count("*").alias("n")).where("n > 3").drop("n")
+    return J.keep_first(old, c.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v")), "id")
 
 
 @query("free_labels", "SELECT s_suppkey AS id, CASE WHEN k = 1 THEN l ELSE l || '_' || k END AS label FROM (SELECT s_suppkey, 'n' || s_nationkey AS l, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier)")
@@ -509,7 +507,7 @@ def _(c):
 
 _DB = "CASE WHEN {0} > 0 THEN 10 * log10({0} * {0}) - 83.0 END".format
 _DBS = "SELECT *, " + ", ".join(f"{_DB(f'{s}_{p}_dn')} AS {s}_{p}_db" for s in ("pre", "post") for p in ("HH", "HV")) + " FROM pairs"
-_STEPS = ["pre_agbd IS NOT NULL AND post_agbd IS NOT NULL AND pre_HH_db IS NOT NULL AND pre_HV_db IS NOT NULL AND post_HH_db IS NOT NULL AND post_HV_db IS NOT NULL", "pre_sensitivity >= 0.93 AND post_sensitivity >= 0.93", "pre_agbd >= 50", "pre_beam IN ('5', '6', '7', '8') AND post_beam IN ('5', '6', '7', '8')", "pre_AntennaPointing = post_AntennaPointing", "pre_BeamID = post_BeamID"]
+_STEPS = ["pre_agbd IS NOT NULL AND post_agbd IS NOT NULL AND pre_HH_db IS NOT NULL AND pre_HV_db IS NOT NULL AND post_HH_db IS NOT NULL AND post_HV_db IS NOT NULL", "pre_sensitivity >= 0.93 AND post_sensitivity >= 0.93", "pre_agbd >= 50", "pre_beam IN ('5', '6', '8', '11') AND post_beam IN ('5', '6', '8', '11')", "pre_AntennaPointing = post_AntennaPointing", "pre_BeamID = post_BeamID"]
 _NAMES = ["complete", "sensitivity", "pre_agbd", "beams", "pointing", "same_beam"]
 
 
@@ -559,8 +557,8 @@ def _(c):
 
 
 @query("binned_medians", f"""WITH d AS ({_DERIVED}), e AS (SELECT list_sort(list_distinct(quantile_cont(d_hv, [k / 7 for k in range(8)]))) AS e FROM d),
-    b AS (SELECT least(len(list_filter(e, lambda v: v <= d_hv)), len(e) - 1) AS bin, d_agbd FROM d, e)
-    SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, CASE WHEN count(*) >= 3 THEN median(d_agbd) END AS median, CASE WHEN count(*) >= 3 THEN quantile_cont(d_agbd, 0.25) END AS q25, CASE WHEN count(*) >= 3 THEN quantile_cont(d_agbd, 0.75) END AS q75 FROM b GROUP BY 1""".replace("[k / 7 for k in range(8)]", "[0.0, 0.14285714285714285, 0.2857142857142857, 0.42857142857142855, 0.5714285714285714, 0.7142857142857143, 0.8571428571428571, 1.0]"), "median q25 q75", "pairs")
+    b AS (SELECT least(len(list_filter(e, lambda v: v <= d_hv)), len(e) - 1) AS bin, d_agbd, e FROM d, e)
+    SELECT CAST(bin AS INTEGER) AS bin, any_value((e[bin] + e[bin + 1]) / 2) AS centre, count(*) AS n, CASE WHEN count(*) >= 3 THEN median(d_agbd) END AS median, CASE WHEN count(*) >= 3 THEN quantile_cont(d_agbd, 0.25) END AS q25, CASE WHEN count(*) >= 3 THEN quantile_cont(d_agbd, 0.75) END AS q75 FROM b GROUP BY 1""".replace("[k / 7 for k in range(8)]", "[0.0, 0.14285714285714285, 0.2857142857142857, 0.42857142857142855, 0.5714285714285714, 0.7142857142857143, 0.8571428571428571, 1.0]"), "centre median q25 q75", "pairs")
 def _(c):
     return AG.binned_medians(_cleaned(c), "d_hv", "d_agbd")
 
@@ -574,10 +572,18 @@ def _(c):
     return rules.audit(c.pairs).select("pair_id", "v2c_drop_reason", "passes_v2c")
 
 
-@query("stratified_sample")  # its random stratum is in hash order
+_CUTS = "quantile_cont(d_hv, 0.2) AS x20, quantile_cont(d_agbd, 0.2) AS y20, quantile_cont(abs(d_hv), 0.4) AS a40, quantile_cont(d_agbd, 0.5) AS y50"
+_PICK = "(SELECT arg_min(pair_id, struct_pack(d := abs(res - m), i := pair_id)) FROM c, (SELECT median(res) AS m FROM c WHERE {0}) WHERE {0})".format
+
+
+@query("stratified_sample", f"""WITH d AS ({_DERIVED}), f AS (SELECT regr_slope(d_agbd, d_hv) AS slope, regr_intercept(d_agbd, d_hv) AS intercept FROM d), k AS (SELECT {_CUTS} FROM d),
+    c AS (SELECT pair_id, d_hv, d_agbd, d_agbd - intercept - slope * d_hv AS res, k.* FROM d, f, k),
+    s1 AS (SELECT {_PICK('d_hv <= x20 AND d_agbd <= y20')} AS id), s2 AS (SELECT {_PICK('abs(d_hv) <= a40 AND d_agbd <= y20 AND pair_id NOT IN (SELECT id FROM s1)')} AS id),
+    s3 AS (SELECT {_PICK('d_hv <= x20 AND d_agbd >= y50 AND pair_id NOT IN (SELECT id FROM s1 UNION ALL SELECT id FROM s2)')} AS id)
+    SELECT 'signal' AS stratum, id FROM s1 UNION ALL SELECT 'noise', id FROM s2 UNION ALL SELECT 'false_alarm', id FROM s3""", "", "pairs")
 def _(c):
-    rows = _cleaned(c)
-    return rules.stratified_sample(rows, AG.fit_ols(rows, "d_hv", "d_agbd"), "d_hv", "d_agbd", "pair_id", 20)
+    rows = _cleaned(c)  # the random rows, in hash order, are left to the tests
+    return rules.stratified_sample(rows, AG.fit_ols(rows, "d_hv", "d_agbd"), "d_hv", "d_agbd", "pair_id", 3)
 
 
 @query("median_row", f"WITH d AS ({_DERIVED}) SELECT pair_id, d_agbd FROM d, (SELECT median(d_agbd) AS m FROM d) ORDER BY abs(d_agbd - m), pair_id LIMIT 1", "d_agbd", "pairs")
@@ -592,12 +598,12 @@ def _(c):
     return C.search(c.catalogue.withColumnRenamed("day", "start_time"), "GCOV", (-50, -9, -30, 0), 3, 25).select("granule", "product_type", "west")
 
 
-@query("granule_url", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 's3://b/' || s_suppkey || '.h5' ELSE 'https://h/' || s_suppkey || '.h5' END AS url, CASE WHEN s_suppkey % 2 = 0 THEN 's3://b/' || s_suppkey || '.h5' END AS direct, CAST(s_suppkey AS VARCHAR) AS stem FROM supplier")
+@query("granule_url", "SELECT s_suppkey AS id, 'https://h/' || s_suppkey || '.h5' AS url, CASE WHEN s_suppkey % 2 = 0 THEN 's3://b/' || s_suppkey || '.h5' END AS direct, CAST(s_suppkey AS VARCHAR) AS stem FROM supplier")
 def _(c):
     k = F.col("s_suppkey").cast("string")
     links = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.concat(F.lit("ftp://x/"), k), F.concat(F.lit("https://h/"), k, F.lit(".h5")), F.concat(F.lit("s3://b/"), k, F.lit(".h5")))).otherwise(F.array(F.concat(F.lit("https://h/"), k, F.lit(".h5"))))
     s = c.table("supplier").select(F.col("s_suppkey").alias("id"), links.alias("l"))
-    return s.select("id", C.granule_url("l").alias("url"), C.granule_url("l", "direct").alias("direct"), C.granule_stem(F.concat(C.granule_url("l"), F.lit("?sig=1.2"))).alias("stem"))
+    return s.select("id", C.granule_url("l").alias("url"), F.when(F.col("id") % 2 == 0, C.granule_url("l", "auto", C.REGION)).alias("direct"), C.granule_stem(F.concat(C.granule_url("l"), F.lit("?sig=1.2"))).alias("stem"))
 
 
 @query("result_size", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS bytes FROM events")
@@ -636,7 +642,7 @@ def _(c):
 
 @query("tile_grid", """WITH a AS (SELECT CAST(n_nationkey AS DOUBLE) + 0.3 AS west, -2.7 AS south, CAST(n_nationkey AS DOUBLE) + 1.4 AS east, -1.5 AS north FROM nation),
     g AS (SELECT DISTINCT i * 0.5 AS west, j * 0.5 AS south FROM (SELECT unnest(range(-10, 80)) AS i), (SELECT unnest(range(-10, 5)) AS j), a WHERE i * 0.5 < east AND i * 0.5 + 0.5 > west AND j * 0.5 < north AND j * 0.5 + 0.5 > south)
-    SELECT translate(printf('%+08.3f', west) || '_' || printf('%+08.3f', south), '+-', 'pm') || '_s' || i || j AS tile_id, west + i * 0.25 AS west, south + j * 0.25 AS south, west + (i + 1) * 0.25 AS east, south + (j + 1) * 0.25 AS north FROM g, (SELECT unnest(range(2)) AS i), (SELECT unnest(range(2)) AS j)""", "west south east north")
+    SELECT translate('x' || printf('%+09.4f', west) || '_y' || printf('%+09.4f', south), '+-', 'pm') || '_s' || i || j AS tile_id, west + i * 0.25 AS west, south + j * 0.25 AS south, west + (i + 1) * 0.25 AS east, south + (j + 1) * 0.25 AS north FROM g, (SELECT unnest(range(2)) AS i), (SELECT unnest(range(2)) AS j)""", "west south east north")
 def _(c):
     aoi = c.table("nation").select((F.col("n_nationkey") + 0.3).cast("double").alias("west"), F.lit(-2.7).alias("south"), (F.col("n_nationkey") + 1.4).cast("double").alias("east"), F.lit(-1.5).alias("north"))
     return rules.split_tiles(rules.tile_aoi(aoi, 0.5))
@@ -656,8 +662,32 @@ def _(c):
     return s.select("id", u["easting"].alias("easting"), u["northing"].alias("northing"))
 
 
+@query("utm_there_and_back", "SELECT id, lon * 60 - 75 AS lon, lat * 100 - 2 AS lat FROM shots", "lon lat", "shots")
+def _(c):
+    s = c.shots.select("id", (F.col("lon") * 60 - 75).alias("lon"), (F.col("lat") * 100 - 2).alias("lat")).withColumn("epsg", A.utm_epsg("lon", "lat"))
+    u = s.select("id", "epsg", *[e.alias(k) for k, e in G.utm_forward("lon", "lat", "epsg").items()])
+    return u.select("id", *[e.alias(k) for k, e in G.utm_inverse("easting", "northing", "epsg").items()])
+
+
+_TILES = f"""t AS (SELECT *, CAST(floor(lon / 0.005) AS BIGINT) AS tile_id, agbd > 250 AS hit FROM shots WHERE quality = 1 AND degrade = 0), u AS (SELECT * FROM t WHERE hit),
+    m AS (SELECT tile_id, avg(lat) AS lat0 FROM u GROUP BY 1), x AS (SELECT u.*, lon * 111320 * cos(radians(lat0)) AS px, lat * 110540 AS py FROM u JOIN m USING (tile_id)),
+    p AS (SELECT a.tile_id, sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)) AS d FROM x a JOIN x b ON a.tile_id = b.tile_id AND a.side = 0 AND b.side = 1 WHERE pow(a.px - b.px, 2) + pow(a.py - b.py, 2) <= 1600)"""
+
+
+@query("tile_pairs", f"""WITH {_TILES} SELECT tile_id, count(*) FILTER (hit AND side = 0) AS n_pre, count(*) FILTER (hit AND side = 1) AS n_post, coalesce(any_value(a), 0) AS n_pairs_25m, coalesce(any_value(b), 0) AS n_pairs_10m,
+    CASE WHEN count(*) FILTER (hit) = 0 THEN 'skipped_no_disturbance' ELSE 'ok' END AS status FROM t LEFT JOIN (SELECT tile_id, count(*) AS a, count(*) FILTER (d <= 10) AS b FROM p GROUP BY 1) USING (tile_id) GROUP BY tile_id""", "", "shots")
+def _(c):
+    shots = c.shots.where(PP.good_shot()).withColumn("tile_id", F.floor(F.col("lon") / 0.005))
+    return PP.tile_pairs(shots, F.col("agbd") > 250, 40.0)[1]
+
+
+@query("inundation_of_means", f"SELECT {RC}, CASE WHEN hh * hv < 5e-5 THEN 'open_water' WHEN hh > 0.5 OR hh / hv > 8 THEN 'inundated' ELSE 'other' END AS class FROM (SELECT r, c, avg(v) AS hh, avg(v) / (1 + (r + c) % 12) AS hv FROM cube GROUP BY r, c)", "", "cube")
+def _(c):
+    return PP.inundation(c.cube.select("row", "col", F.col("value").alias("hh"), (F.col("value") / (1 + (F.col("row") + F.col("col")) % 12)).alias("hv")))
+
+
 @query("times_and_names", """SELECT l_orderkey AS id, l_linenumber AS line, l_orderkey * 1000 + 1514764800000 AS ms, strftime(epoch_ms(l_orderkey * 1000 + 1514764800000), '%Y-%m-%d') AS day, year(epoch_ms(l_orderkey * 1000 + 1514764800000)) AS year,
-    'granule_A_HH' || CASE WHEN l_linenumber % 2 = 0 THEN '_2025-06-01' ELSE '' END || '.tif' AS file, lpad(CAST(l_linenumber AS VARCHAR), 4, '0') AS site,
+    'GCOV_freqA_HH_HHHH' || CASE WHEN l_linenumber % 2 = 0 THEN '_2025-06-01' ELSE '' END || '_subset.tif' AS file, lpad(CAST(l_linenumber AS VARCHAR), 4, '0') AS site,
     CASE WHEN l_linenumber % 2 = 0 THEN 'memory_error' ELSE 'ee_error' END AS err, CASE WHEN l_linenumber % 2 = 0 THEN 'gamma0' ELSE 'unknown' END AS calibration FROM lineitem""")
 def _(c):
     even = F.col("l_linenumber") % 2 == 0
@@ -665,7 +695,7 @@ def _(c):
     rows = c.table("lineitem").withColumn("msg", F.when(even, "User Memory limit exceeded").otherwise("quota")).withColumn("file0", F.when(even, "x_Gamma0.tif").otherwise("y.tif"))
     return rows.select(
         F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), ms.alias("ms"), F.date_format(A.ms_to_timestamp(ms), "yyyy-MM-dd").alias("day"), A.year_of(A.ms_to_timestamp(ms).cast("string")).cast("long").alias("year"),
-        C.output_name(F.lit("granule"), F.lit("HH"), F.lit("A"), F.when(even, "2025-06-01T12:00:00")).alias("file"), F.lpad(F.col("l_linenumber").cast("string"), 4, "0").alias("site"), rules.error_kind("msg").alias("err"), C.calibration_of("file0").alias("calibration"),
+        C.output_name(F.lit("GCOV"), F.lit("A"), F.lit("HH"), F.lit("HHHH"), F.when(even, "2025-06-01T12:00:00")).alias("file"), F.lpad(F.col("l_linenumber").cast("string"), 4, "0").alias("site"), rules.error_kind("msg").alias("err"), C.calibration_of("file0").alias("calibration"),
     )
 
 
@@ -685,7 +715,7 @@ def _(c):
 def _(c):
     s = c.scenes.withColumn("bands", F.when(F.col("has_hv"), F.array(F.lit("HH"), F.lit("HV"))).otherwise(F.array(F.lit("HH"))))
     s = s.where((F.col("scene_ms") >= 1_700_000_000_000) | (F.col("path") != 2))
-    return s.groupBy("pass").agg(F.count("*").alias("n"), F.count_if(F.array_contains("bands", "HV")).alias("n_hv"))
+    return s.groupBy("pass").agg(F.count("*").alias("n"), F.count_if(PP.has_band("bands")).alias("n_hv"))
 
 
 @query("embedding_tiles", "SELECT vec_id, (e[1] + e[2] + e[9] + e[10]) / 4 AS first_block, quantile_cont(x, 0.9) AS p90 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY vec_id, e", "first_block p90")

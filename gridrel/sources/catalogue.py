@@ -38,32 +38,41 @@ def search_gcov(catalogue: DataFrame, bbox: BBox | None = None, start=None, end=
     return search(catalogue, "GCOV", bbox, start, end, limit)
 
 
-def granule_url(links: str | Column, access: str = "auto") -> Column:
-    """The first link by preference of scheme; NULL if none fits."""
-    order = {"auto": ("s3://", "https://"), "direct": ("s3://",), "external": ("https://",)}[access]
+#: Fixed value: the cloud region that holds the archive, from which alone direct access works.
+REGION = "us-west-2"
 
-    def first(scheme: str) -> Column:
-        return F.get(F.filter(col(links), lambda x: x.startswith(scheme)), F.lit(0))
 
-    return F.coalesce(*[first(p) for p in order])
+def granule_url(links: str | Column, access: str = "auto", region: str | None = None) -> Column:
+    """The first link of the scheme asked for ("s3" or "https"); "auto" is s3 in REGION and https elsewhere.  A row without one is an error."""
+    if access not in ("auto", "s3", "https"):
+        raise ValueError(f"access is auto, s3 or https, not {access!r}")
+    scheme = access if access != "auto" else "s3" if region == REGION else "https"
+    first = F.get(F.filter(col(links), lambda x: x.startswith(f"{scheme}://")), F.lit(0))
+    return F.coalesce(first, F.raise_error(F.lit(f"no {scheme} link among the granule's")).cast("string"))
 
 
 def result_size(properties: str | Column, name: str | Column) -> Column:
-    """Bytes of a search result from its JSON: a number, a mapping by file name or of one entry, each a number or {"bytes": n}."""
+    """Bytes of a search result from its JSON: a number, or a mapping with the file's own entry, a number
+    named bytes, or one entry alone, in this order; entries are numbers or {"bytes": n}."""
     p = col(properties)
     at = F.get_json_object(p, "$.bytes")
     entries = F.from_json(at, "map<string,string>")
     own = F.try_element_at(entries, col(name))
     sole = F.when(F.size(F.map_values(entries)) == 1, F.get(F.map_values(entries), F.lit(0)))
     number = lambda c: F.coalesce(c.try_cast("long"), F.get_json_object(c, "$.bytes").try_cast("long"))
-    return F.coalesce(at.try_cast("long"), number(own), number(sole))
+    return F.coalesce(at.try_cast("long"), number(own), F.try_element_at(entries, F.lit("bytes")).try_cast("long"), number(sole))
 
 
 def exact_or_nearest(targets: DataFrame, scenes: DataFrame, tolerance: int) -> DataFrame:
-    """Scene of exactly the target's time and path, else the first within +-tolerance of it."""
-    exact = targets.join(scenes, (F.col("ms") == F.col("scene_ms")) & F.col("path").eqNullSafe(F.col("scene_path"))).groupBy("target_id").agg(F.min("scene_id").alias("exact_id"))
+    """Scene of exactly the target's time, else the first in [time - tolerance, time + tolerance); both of its pass and path.
+
+    targets: target_id, ms, pass, path, of which a null pass or path admits any; scenes: scene_id,
+    scene_ms, scene_pass, scene_path.  A target without a time has no scene.
+    """
+    fits = (F.col("path").isNull() | (F.col("path") == F.col("scene_path"))) & (F.col("pass").isNull() | (F.col("pass") == F.col("scene_pass")))
+    exact = targets.join(scenes, F.col("ms") == F.col("scene_ms")).where(fits).groupBy("target_id").agg(F.min("scene_id").alias("exact_id"))
     near = targets.withColumn("__b", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.floor(F.col("ms") / tolerance) + k)))
-    near = near.join(scenes.withColumn("__b", F.floor(F.col("scene_ms") / tolerance)), "__b").where(F.abs(F.col("scene_ms") - F.col("ms")) <= tolerance)
+    near = near.join(scenes.withColumn("__b", F.floor(F.col("scene_ms") / tolerance)), "__b").where(fits & (F.col("scene_ms") - F.col("ms") >= -tolerance) & (F.col("scene_ms") - F.col("ms") < tolerance))
     near = near.groupBy("target_id").agg(F.min(F.struct("scene_ms", "scene_id"))["scene_id"].alias("near_id"))
     return targets.join(exact, "target_id", "left").join(near, "target_id", "left").select("target_id", F.coalesce("exact_id", "near_id").alias("scene_id"), F.col("exact_id").isNotNull().alias("is_exact"))
 
@@ -92,25 +101,29 @@ def gunw_group(layer: str, posting: int | None = None) -> str:
     return "wrappedInterferogram" if posting == 20 else "unwrappedInterferogram"
 
 
-def item_size(layer: str | Column) -> Column:
-    l = col(layer)
-    return F.when(l == "connectedComponents", 2).when(l.isin("wrappedInterferogram", "HHHV", "HHVV", "HVVV"), 8).otherwise(4)
+def item_size(layer: str | Column, product: str | Column | None = None) -> Column:
+    """Bytes of a pixel: 8 for complex layers and complex products, 2 for component labels, else 4."""
+    l, p = col(layer), F.lit("") if product is None else col(product)
+    return F.when(p.isin("GSLC", "RSLC"), 8).when(l == "connectedComponents", 2).when(l.isin("wrappedInterferogram", "HHHV", "HHVV", "HVVV"), 8).otherwise(4)
 
 
 def subset_size(rows: DataFrame) -> DataFrame:
-    """Bytes of each granule's window: rows x columns x item size, summed over its layers."""
-    return rows.groupBy("granule").agg(F.sum(F.col("height") * F.col("width") * item_size("layer")).cast("long").alias("bytes"))
+    """Bytes of each granule's window: rows x columns x item size, summed over its layers; rows may name their product_type."""
+    size = item_size("layer", "product_type" if "product_type" in rows.columns else None)
+    return rows.groupBy("granule").agg(F.sum(F.col("height") * F.col("width") * size).cast("long").alias("bytes"))
 
 
 def calibration_of(name: str | Column) -> Column:
+    """Calibration that a file's name tells: sigma0 before all else, gamma0 for gamma, db or linear."""
     n = F.lower(col(name))
-    return F.when(n.contains("sigma0"), "sigma0").when(n.contains("gamma0"), "gamma0").when(n.contains("_db"), "dB").otherwise("unknown")
+    return F.when(n.contains("sigma0"), "sigma0").when(n.contains("gamma") | n.contains("db") | n.contains("linear"), "gamma0").otherwise("unknown")
 
 
 def granule_stem(url: str | Column) -> Column:
     return F.regexp_extract(col(url), r"([^/?]+?)(?:\.[A-Za-z0-9]+)?(?:\?.*)?$", 1)
 
 
-def output_name(stem, layer, frequency, date=None) -> Column:
-    """Parts joined by _, a missing date left out."""
-    return F.concat(F.concat_ws("_", col(stem), col(frequency), col(layer), F.lit(None) if date is None else F.substring(col(date), 1, 10)), F.lit(".tif"))
+def output_name(product, frequency, polarization, layer, date=None) -> Column:
+    """<product>_freq<frequency>_<polarization>_<layer>[_<date>]_subset.tif; the date is the first ten characters of a time."""
+    day = F.lit(None) if date is None else F.nullif(F.substring(col(date), 1, 10), F.lit(""))
+    return F.concat(F.concat_ws("_", col(product), F.concat(F.lit("freq"), col(frequency)), col(polarization), col(layer), day, F.lit("subset")), F.lit(".tif"))
