@@ -1,4 +1,4 @@
-"""Incremental forms: new shot files in, pairs with a dimension out."""
+"""Incremental forms: files of scenes or shots as they arrive, and counts of them by window."""
 
 from __future__ import annotations
 
