@@ -422,8 +422,8 @@ def _(c):
     return J.as_of(c.targets, c.scenes, ["user_id"], DAY).select("target_id", "scene_id", "abs_dt")
 
 
-_SIDE_SQL = f"""SELECT target_id, skey, scene_id, dt FROM (SELECT t.target_id, coalesce(pass, 'UNK') || '|' || s.path AS skey, s.scene_id, abs(s.scene_ms - {{m}}) AS dt,
-    row_number() OVER (PARTITION BY t.target_id, coalesce(pass, 'UNK') || '|' || s.path ORDER BY abs(s.scene_ms - {{m}}), s.scene_id) AS k
+_SIDE_SQL = f"""SELECT target_id, skey, scene_id, dt FROM (SELECT t.target_id, coalesce(s.pass, 'UNK') || '|' || s.path AS skey, s.scene_id, abs(s.scene_ms - {{m}}) AS dt,
+    row_number() OVER (PARTITION BY t.target_id, coalesce(s.pass, 'UNK') || '|' || s.path ORDER BY abs(s.scene_ms - {{m}}), s.scene_id) AS k
     FROM targets t JOIN scenes s ON t.user_id = s.user_id AND s.scene_ms >= {{m}} - {7 * DAY} AND s.scene_ms < {{m}} + {7 * DAY}) WHERE k = 1"""
 
 
