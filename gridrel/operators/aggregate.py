@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridrel.functions.algebra import t_cdf_tail, t_quantile
+from gridrel.operators.quantiles import cut, median, quantiles
 
 
 def multilook(df: DataFrame, values: list[str], shape: tuple[int, int], looks: tuple[int, int] = (2, 2)) -> DataFrame:
@@ -132,12 +133,17 @@ def binned_medians(df: DataFrame, x: str, y: str, bins: int = 7, least: int = 3,
     No bins for fewer than `rows` points, or fewer than three distinct edges.
     """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
-    edges = F.array_sort(F.array_distinct(F.percentile("x", F.array(*[F.lit(k / bins) for k in range(bins + 1)]))))
-    both = both.crossJoin(F.broadcast(both.agg(edges.alias("e"), F.count("*").alias("points")))).where((F.col("points") >= rows) & (F.size("e") >= 3))
-    at = F.least(F.size(F.filter("e", lambda v: v <= F.col("x"))), F.size("e") - 1)
-    keep = F.count("*") >= least
-    q = lambda p: F.when(keep, F.percentile("y", p))
-    return both.withColumn("bin", at.cast("int")).withColumn("centre", (F.element_at("e", F.col("bin")) + F.element_at("e", F.col("bin") + 1)) / 2).groupBy("bin").agg(F.first("centre").alias("centre"), F.count("*").alias("n"), q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"))
+    edges = sorted({e for e in quantiles(both, {"x": F.col("x")}, [k / bins for k in range(bins + 1)])["x"] if e is not None})
+    enough = both.count() >= rows and len(edges) >= 3
+    at = F.least(sum((F.when(F.col("x") >= e, 1).otherwise(0) for e in edges), F.lit(0)), F.lit(max(1, len(edges) - 1))).cast("int")
+    both = both.withColumn("bin", at).where(F.lit(enough))
+    places = range(1, len(edges)) if enough else []
+    per = quantiles(both, {str(k): F.when(F.col("bin") == k, F.col("y")) for k in places}, [0.5, 0.25, 0.75]) if enough else {}
+    found = [(k, (edges[k - 1] + edges[k]) / 2, *per[str(k)]) for k in places]
+    found = df.sparkSession.createDataFrame(found, "bin int, centre double, median double, q25 double, q75 double")
+    keep = F.col("n") >= least
+    out = both.groupBy("bin").agg(F.count("*").alias("n")).join(F.broadcast(found), "bin")  # a row a bin
+    return out.select("bin", "centre", "n", *[F.when(keep, F.col(k)).alias(k) for k in ("median", "q25", "q75")])
 
 
 def histogram(df: DataFrame, value: str, bins: int = 100) -> DataFrame:
@@ -150,11 +156,9 @@ def histogram(df: DataFrame, value: str, bins: int = 100) -> DataFrame:
 
 def trim_mad(df: DataFrame, column: str, k: float = 3.0) -> DataFrame:
     """Rows within k raw median deviations of the median; all rows if the deviation is 0 or there are none."""
-    mid = df.agg(F.median(column).alias("__med"))
-    near = df.crossJoin(F.broadcast(mid))
-    mad = near.agg(F.median(F.abs(F.col(column) - F.col("__med"))).alias("__mad"))
-    out = near.crossJoin(F.broadcast(mad))
-    return out.where((F.col("__mad") == 0) | (F.abs(F.col(column) - F.col("__med")) <= k * F.col("__mad"))).select(df.columns)
+    away = F.abs(F.col(column) - cut(median(df, column)))
+    mad = median(df, away)
+    return df if mad == 0 else df.where(away <= k * cut(mad))
 
 
 def power_transform(df: DataFrame, value: str, gamma: float = 0.5) -> DataFrame:

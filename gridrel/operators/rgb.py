@@ -1,4 +1,4 @@
-"""False-colour composites as a table of expressions: one percentile pass, one projection."""
+"""False-colour composites as a table of expressions: percentiles of all its parts together, one projection."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridrel.functions.algebra import linear_to_db, stretch, to_uint8
+from gridrel.operators.quantiles import cut, quantiles
 
 SPAN, VOL = "(hh + hv + 1e-10)", "(hv / (hh + hv + 1e-10))"
 
@@ -77,9 +78,8 @@ def make_rgb(df: DataFrame, method: str = "vegetation_green") -> DataFrame:
     spec = METHODS[name]
     base = df.select("row", "col", "hh", "hv", linear_to_db("hh").alias("hh_db"), linear_to_db("hv").alias("hv_db"))
     base = base.select("*", *[F.expr(e).alias(f"__{k}") for k, (e, _, _) in spec.stats.items()])
-    cuts = base.agg(*[F.percentile(f"__{k}", F.array(F.lit(lo / 100), F.lit(hi / 100))).alias(f"__p{k}") for k, (_, lo, hi) in spec.stats.items()])
-    rows = base.crossJoin(F.broadcast(cuts))  # one row of statistics
-    rows = rows.select("row", "col", "hh", "hv", *[stretch(f"__{k}", F.col(f"__p{k}")[0], F.col(f"__p{k}")[1]).alias(k) for k in spec.stats])
+    cuts = quantiles(base, {k: F.col(f"__{k}") for k in spec.stats}, {k: [lo / 100, hi / 100] for k, (_, lo, hi) in spec.stats.items()})
+    rows = base.select("row", "col", "hh", "hv", *[stretch(f"__{k}", cut(cuts[k][0]), cut(cuts[k][1])).alias(k) for k in spec.stats])
     return rows.select("row", "col", *[to_uint8(F.expr(e)).alias(c) for c, e in zip(("red", "green", "blue"), spec.channels, strict=True)])
 
 
@@ -92,7 +92,7 @@ def make_dualpol_rgb(df: DataFrame) -> DataFrame:
 def percentile_uint8(df: DataFrame, value: str, low: float = 2, high: float = 98) -> DataFrame:
     """Eight-bit band with its bounds; where the percentiles coincide, minimum and maximum serve."""
     v = F.col(value)
-    cuts = df.agg(F.percentile(v, F.lit(low / 100)).alias("lo"), F.percentile(v, F.lit(high / 100)).alias("hi"), F.min(v).alias("__a"), F.max(v).alias("__b"))
-    flat = F.col("hi") <= F.col("lo")
-    cuts = cuts.select(F.when(flat, F.col("__a")).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("__b")).otherwise(F.col("hi")).alias("hi"))
-    return df.crossJoin(F.broadcast(cuts)).select("row", "col", to_uint8((v - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-12)).alias("u8"), "lo", "hi")
+    lo, hi, least, most = quantiles(df, {"v": v}, [low / 100, high / 100, 0, 1])["v"]
+    if lo is not None and hi <= lo:
+        lo, hi = least, most
+    return df.select("row", "col", to_uint8((v - cut(lo)) / (cut(hi) - cut(lo) + 1e-12)).alias("u8"), cut(lo).alias("lo"), cut(hi).alias("hi"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridrel.functions.algebra import FULL_POWER_BEAMS, dn_to_db, year_of
+from gridrel.operators.quantiles import cut, median, quantiles
 
 COMPLETE = ["pre_agbd", "post_agbd", "pre_HH_db", "pre_HV_db", "post_HH_db", "post_HV_db"]
 
@@ -103,15 +104,13 @@ def stratified_sample(df: DataFrame, fit: DataFrame, x: str, y: str, id_: str, n
     rows = rows.select(F.col(id_).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), (F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)).alias("res"))
     if exclude is not None:
         rows = rows.join(exclude.select(F.col(id_).alias("id")).distinct(), "id", "left_anti")
-    cut = lambda c, p: F.percentile(c, F.lit(p))
-    rows = rows.crossJoin(F.broadcast(rows.agg(cut("x", 0.2).alias("x20"), cut("y", 0.2).alias("y20"), cut(F.abs("x"), 0.4).alias("a40"), cut("y", 0.5).alias("y50"))))
-    low_x, low_y = F.col("x") <= F.col("x20"), F.col("y") <= F.col("y20")
-    strata = {"signal": low_x & low_y, "noise": (F.abs("x") <= F.col("a40")) & low_y, "false_alarm": low_x & (F.col("y") >= F.col("y50"))}
+    cuts = quantiles(rows, {"x": F.col("x"), "y": F.col("y"), "a": F.abs("x")}, {"x": [0.2], "y": [0.2, 0.5], "a": [0.4]})
+    low_x, low_y = F.col("x") <= cut(cuts["x"][0]), F.col("y") <= cut(cuts["y"][0])
+    strata = {"signal": low_x & low_y, "noise": (F.abs("x") <= cut(cuts["a"][0])) & low_y, "false_alarm": low_x & (F.col("y") >= cut(cuts["y"][1]))}
     picks: list[tuple[str, int]] = []
     for name, rule in strata.items():
         some = rows.where(rule & ~F.col("id").isin([i for _, i in picks]) if picks else rule)
-        near = some.crossJoin(F.broadcast(some.agg(F.median("res").alias("m"))))
-        best = near.agg(F.min(F.struct(F.abs(F.col("res") - F.col("m")).alias("d"), "id")).alias("b")).first()  # one row
+        best = some.agg(F.min(F.struct(F.abs(F.col("res") - cut(median(some, "res"))).alias("d"), "id")).alias("b")).first()  # one row
         if best.b is not None:
             picks.append((name, best.b.id))
     fixed = df.sparkSession.createDataFrame(picks, f"stratum string, id {rows.schema['id'].dataType.simpleString()}")
@@ -123,8 +122,7 @@ def stratified_sample(df: DataFrame, fit: DataFrame, x: str, y: str, id_: str, n
 
 def median_row(df: DataFrame, value: str, id_: str) -> DataFrame:
     """The row nearest the median, ties to the smaller id."""
-    near = df.crossJoin(F.broadcast(df.agg(F.median(value).alias("__m"))))
-    return near.orderBy(F.abs(F.col(value) - F.col("__m")), id_).limit(1).select(df.columns)
+    return df.orderBy(F.abs(F.col(value) - cut(median(df, value))), id_).limit(1)
 
 
 def split_tiles(tiles: DataFrame, factor: int = 2) -> DataFrame:

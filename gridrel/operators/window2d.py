@@ -1,16 +1,25 @@
-"""Two-dimensional neighbourhood operators on sparse pixel relations (row, col, values)."""
+"""Two-dimensional neighbourhood operators on pixel relations (row, col, values); a missing pixel is a row with NULL, see complete()."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridrel.functions.algebra import EPS, clip
+from gridrel.operators.quantiles import cut, median, quantiles
 
 #: Columns of a window task's strip; wider images are cut, with the window's reach repeated.
 STRIP = 4096
 
 
+def complete(df: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """All pixels of an image of that shape, NULL where df has no row."""
+    grid = df.sparkSession.range(shape[0]).select(F.col("id").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(shape[1] - 1))).alias("col"))
+    return grid.join(df, ["row", "col"], "left")
+
+
 def _padded(pos: Column, n: int, before: int, after: int, mode: str) -> Column:
     """Places at which a value at pos is seen: its own, and those that edges repeat it at."""
     own = F.array(pos)
@@ -84,18 +93,40 @@ def lee_filter(df: DataFrame, shape: tuple[int, int], size: int = 5, value: str
     return out.select("row", "col", F.when(F.col("v").isNotNull(), mean + weight * (F.col("v") - mean)).alias("filtered"))
 
 
-def stencil(df: DataFrame, offsets: list[tuple[int, int]], shape: tuple[int, int], mode: str, value: str = "value") -> DataFrame:
-    """Per pixel, the neighbours at each offset as columns n0, n1, ...: pixels are sent to those that see them."""
-    h, w = shape
+def _beside(df: DataFrame, axis: str, other: str, n: int, values: list[str]) -> DataFrame:
+    """Each value's neighbours one place before (<name>-) and after (<name>+) along an axis, both ends meeting."""
+    seen = df.withColumn("__p", F.explode(_padded(F.col(axis).cast("int"), n, 1, 1, "wrap")))
+    seen = seen.withColumn("__s", F.explode(F.array_distinct(F.array(*[F.floor((F.col("__p") + d) / STRIP) for d in (-1, 0, 1)]))))
+    at = lambda d: Window.partitionBy(other, "__s").orderBy("__p").rangeBetween(d, d)
+    out = seen.select("*", *[F.max(v).over(at(d)).alias(f"{v}{sign}") for v in values for d, sign in ((-1, "-"), (1, "+"))])
+    inside = (F.col("__p") >= 0) & (F.col("__p") < n) & (F.floor(F.col("__p") / STRIP) == F.col("__s"))
+    return out.where(inside).drop("__p", "__s")
+
+
+def neighbours(df: DataFrame, shape: tuple[int, int], value: str = "value") -> DataFrame:
+    """Per pixel, the values at the eight offsets: n<i> with edges repeated, w<i> with ends meeting, in the order of DIRECTIONS.
 
-    def source(p: Column, n: int) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(n - 1), p)) if mode == "nearest" else F.pmod(p, F.lit(n))
+    Two shuffles, one for each axis; every line of the image must have all its pixels, the missing ones NULL.
+    """
+    rows = _beside(df.select("row", "col", F.col(value).alias("v")), "col", "row", shape[1], ["v"])
+    rows = rows.select(
+        "row", "col", "v", F.col("v-").alias("wl"), F.col("v+").alias("wr"),
+        F.when(F.col("col") > 0, F.col("v-")).otherwise(F.col("v")).alias("nl"), F.when(F.col("col") < shape[1] - 1, F.col("v+")).otherwise(F.col("v")).alias("nr"),
+    )
+    rows = _beside(rows, "row", "col", shape[0], ["v", "wl", "wr", "nl", "nr"])
+    top, bottom = F.col("row") == 0, F.col("row") == shape[0] - 1
 
-    want = df.select("row", "col", F.posexplode(F.array(*[F.struct(source(F.col("row") + a, h).cast("int").alias("sr"), source(F.col("col") + b, w).cast("int").alias("sc")) for a, b in offsets])).alias("k", "at"))
-    want = want.select("row", "col", "k", F.col("at.sr").alias("sr"), F.col("at.sc").alias("sc"))
-    have = df.select(F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).alias("v"))
-    got = want.join(have, ["sr", "sc"], "left")
-    return got.groupBy("row", "col").agg(*[F.max(F.when(F.col("k") == i, F.col("v"))).alias(f"n{i}") for i in range(len(offsets))])
+    def near(a: int, b: int) -> Column:
+        name = {-1: "nl", 0: "v", 1: "nr"}[b]
+        if a == 0:
+            return F.col(name)
+        return F.when(top if a < 0 else bottom, F.col(name)).otherwise(F.col(f"{name}{'-' if a < 0 else '+'}"))
+
+    def meeting(a: int, b: int) -> Column:
+        return F.col({-1: "wl", 0: "v", 1: "wr"}[b] + {-1: "-", 0: "", 1: "+"}[a])
+
+    flat = [o for pair in DIRECTIONS for o in pair]
+    return rows.select("row", "col", "v", *[near(*o).alias(f"n{i}") for i, o in enumerate(flat)], *[meeting(*o).alias(f"w{i}") for i, o in enumerate(flat)])
 
 
 #: Pairs of opposite neighbours in four directions (0, 45, 90 and 135 degrees).
@@ -109,18 +140,15 @@ def refined_lee(df: DataFrame, shape: tuple[int, int], size: int = 7, value: str
     the averaged neighbours wrap around the image's borders, as the reference's do.
     """
     size, v = max(5, size), F.col(value)
-    flat = [o for pair in DIRECTIONS for o in pair]
     m = box_mean(df, {"m": v, "q": v * v}, shape, size)
-    near, wrap = stencil(df, flat, shape, "nearest", value), stencil(df, flat, shape, "wrap", value)
-    wrap = wrap.select("row", "col", *[F.col(f"n{i}").alias(f"w{i}") for i in range(8)])
-    rows = df.select("row", "col", v.alias("v")).join(m, ["row", "col"]).join(near, ["row", "col"]).join(wrap, ["row", "col"])
-    rows = rows.withColumn("var", F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0)))
-    rows = rows.crossJoin(_global(rows.where("v is not null"), noise=F.median("var") + EPS))
+    var = F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))
+    noise = cut(median(m.join(df.where(v.isNotNull()).select("row", "col"), ["row", "col"], "left_semi"), var)) + EPS
+    rows = neighbours(df, shape, value).join(m.withColumn("var", var), ["row", "col"])
     diffs = [F.abs(F.col(f"n{2 * d}") + F.col(f"n{2 * d + 1}") - 2 * F.col("v")) for d in range(4)]
     best, pick = F.least(*diffs), F.lit(None).cast("double")
     for d in (3, 2, 1, 0):
         pick = F.when(diffs[d] == best, (F.col(f"w{2 * d}") + F.col(f"w{2 * d + 1}")) * 0.5).otherwise(pick)
-    lee = F.col("m") + F.col("var") / (F.col("var") + F.col("noise")) * (F.col("v") - F.col("m"))
+    lee = F.col("m") + F.col("var") / (F.col("var") + noise) * (F.col("v") - F.col("m"))
     return rows.select("row", "col", (0.5 * lee + 0.5 * pick).alias("filtered"))
 
 
@@ -136,31 +164,47 @@ def contrast_homogeneity(df: DataFrame, shape: tuple[int, int], size: int = 11,
     return out.select("row", "col", F.when(there, sd).alias("contrast"), F.when(there, 1 / (1 + ratio)).alias("homogeneity"))
 
 
-def disk(radius: int) -> list[tuple[int, int]]:
-    return [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
-
+def texture(df: DataFrame, shape: tuple[int, int], size: int = 11, levels: int = 32, value: str = "value", tile: int = 256) -> DataFrame:
+    """Entropy (bits), mean, variance and range of quantised levels over a disk inside the image; pixels without a value count as level 0 and give no row.
 
-def texture(df: DataFrame, shape: tuple[int, int], size: int = 11, levels: int = 32, value: str = "value") -> DataFrame:
-    """Entropy (bits), mean, variance and range of quantised levels over a disk inside the image.
-
-    The variance is the true one of the levels; the reference's overflows eight bits.  Per pixel
-    and level one count is kept, so a pixel's group never exceeds `levels` rows.
+    The variance is the true one of the levels; the reference's overflows eight bits.  Tiles with
+    their border, as wide as the disk, each go to one call of a kernel: one shuffle, in which a
+    pixel is sent once but for those within a radius of a tile's edge.
     """
-    v = F.col(value)
-    stats = _global(df, lo=F.percentile(v, 0.02), hi=F.percentile(v, 0.98))
-    q = F.floor(clip((v - F.col("lo")) / (F.col("hi") - F.col("lo") + EPS), 0.0, 1.0) * (levels - 1)).cast("int")
-    rows = df.crossJoin(stats).select("row", "col", F.coalesce(q, F.lit(0)).alias("q"), v.isNotNull().alias("valid"))
-    seen = rows.select("q", F.col("row").alias("sr"), F.col("col").alias("sc"), F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in disk(size // 2)])).alias("o"))
-    seen = seen.select((F.col("sr") - F.col("o.a")).alias("row"), (F.col("sc") - F.col("o.b")).alias("col"), "q").where(F.col("row").between(0, shape[0] - 1) & F.col("col").between(0, shape[1] - 1))
-    per = seen.groupBy("row", "col", "q").agg(F.count("*").alias("n"))
-    total = F.sum("n")
-    out = per.groupBy("row", "col").agg(
-        (F.log2(total.cast("double")) - F.sum(F.col("n") * F.log2(F.col("n").cast("double"))) / total).alias("entropy"),
-        (F.sum(F.col("n") * F.col("q")) / total).alias("mean"),
-        (F.sum(F.col("n") * F.col("q") * F.col("q")) / total - F.pow(F.sum(F.col("n") * F.col("q")) / total, F.lit(2))).alias("variance"),
-        (F.max("q") - F.min("q")).alias("range"),
-    )
-    return out.join(rows.where("valid").select("row", "col"), ["row", "col"], "left_semi")
+    v, radius = F.col(value), size // 2
+    lo, hi = quantiles(df, {"v": v}, [0.02, 0.98])["v"]
+    q = F.floor(clip((v - cut(lo)) / (cut(hi) - cut(lo) + EPS), 0.0, 1.0) * (levels - 1)).cast("int")
+    rows = df.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.coalesce(q, F.lit(0)).alias("q"), v.isNotNull().alias("valid"))
+    for axis, name in (("row", "ti"), ("col", "tj")):
+        rows = rows.withColumn(name, F.explode(F.array_distinct(F.array(*[F.floor((F.col(axis) + d) / tile) for d in (-radius, 0, radius)]))))
+    chords = [(a, int((radius * radius - a * a) ** 0.5)) for a in range(-radius, radius + 1)]
+
+    def kernel(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(key[0]) * tile - radius, int(key[1]) * tile - radius
+        grid = np.full((tile + 2 * radius, tile + 2 * radius), -1, np.int32)
+        grid[p["row"].to_numpy() - top, p["col"].to_numpy() - left] = p["q"].to_numpy()
+        kinds = ("n", "nlogn", "s", "s2")
+        sums = {k: np.zeros((tile, tile)) for k in kinds}
+        least, most = np.full((tile, tile), levels), np.full((tile, tile), -1)
+        for level in np.unique(grid[grid >= 0]):
+            run = np.zeros((grid.shape[0], grid.shape[1] + 1), np.int32)
+            np.cumsum(grid == level, 1, out=run[:, 1:])
+            n = np.zeros((tile, tile), np.int32)
+            for a, b in chords:  # a disk's line is a run of pixels
+                line = run[radius + a : radius + a + tile]
+                n += line[:, radius + b + 1 : radius + b + 1 + tile] - line[:, radius - b : radius - b + tile]
+            sums["n"] += n
+            sums["nlogn"] += n * np.log2(np.maximum(n, 1))
+            sums["s"] += n * float(level)
+            sums["s2"] += n * float(level) ** 2
+            least = np.where((n > 0) & (least == levels), level, least)
+            most = np.where(n > 0, level, most)
+        own = p[p["valid"] & (p["row"] // tile == key[0]) & (p["col"] // tile == key[1])]
+        i, j = own["row"].to_numpy() - top - radius, own["col"].to_numpy() - left - radius
+        n, nlogn, s, s2 = (sums[k][i, j] for k in kinds)
+        return pd.DataFrame({"row": own["row"], "col": own["col"], "entropy": np.log2(n) - nlogn / n, "mean": s / n, "variance": s2 / n - (s / n) ** 2, "range": (most - least)[i, j]})
+
+    return rows.groupBy("ti", "tj").applyInPandas(kernel, "row int, col int, entropy double, mean double, variance double, range int")
 
 
 def coherence(df: DataFrame, shape: tuple[int, int], size: int = 5) -> DataFrame:

@@ -17,6 +17,7 @@ from gridrel.operators import pairs as PP
 from gridrel.operators import polsar as P
 from gridrel.operators import rgb, rules
 from gridrel.operators import window2d as W
+from gridrel.operators.quantiles import cut, quantiles
 from gridrel.plans.adapters import SIDE, relation, with_clause
 from gridrel.sources import catalogue as C
 
@@ -97,9 +98,9 @@ def _(c):
     FROM px, (SELECT quantile_cont(hh, 0.02) AS lo, quantile_cont(hh, 0.98) AS hi FROM px)""", "s g", "px")
 def _(c):
     px = c.px
-    cuts = F.broadcast(px.agg(F.percentile("hh", F.lit(0.02)).alias("lo"), F.percentile("hh", F.lit(0.98)).alias("hi")))
-    s = A.stretch("hh", "lo", "hi")
-    return px.crossJoin(cuts).select("row", "col", s.alias("s"), A.gamma_correct(s).alias("g"), A.to_uint8(A.gamma_correct(s)).alias("u8"))
+    lo, hi = quantiles(px, {"hh": F.col("hh")}, [0.02, 0.98])["hh"]
+    s = A.stretch("hh", cut(lo), cut(hi))
+    return px.select("row", "col", s.alias("s"), A.gamma_correct(s).alias("g"), A.to_uint8(A.gamma_correct(s)).alias("u8"))
 
 
 @query("px_band_uint8", f"SELECT {RC}, CAST(floor(255 * {CLIP('(hv - lo) / (hi - lo + 1e-12)')}) AS INTEGER) AS u8, lo, hi FROM px, (SELECT quantile_cont(hv, 0.02) AS lo, quantile_cont(hv, 0.98) AS hi FROM px)", "lo hi", "px")
