@@ -310,7 +310,14 @@ def _(c):
     return P.entropy_anisotropy(P.coherency(c.cov, SHAPE, 3))
 
 
-@query("cloude_pottier")  # alpha needs the dominant eigenvector
+# The dominant eigenvector's powers are in proportion to the diagonal of the adjugate of t - l1.
+_ALPHA = """w AS (SELECT t.r, t.c, (t22 - l1) * (t33 - l1) - t23_re * t23_re - t23_im * t23_im AS w1, (t11 - l1) * (t33 - l1) - t13_re * t13_re - t13_im * t13_im AS w2,
+    (t11 - l1) * (t22 - l1) - t12_re * t12_re - t12_im * t12_im AS w3 FROM t JOIN l ON t.r = l.r AND t.c = l.c),
+    al AS (SELECT r, c, degrees(atan(sqrt((w1 + w2) / (w1 + w2 + w3) / (2 * (w3 / (w1 + w2 + w3) + 1e-12))))) AS alpha FROM w)"""
+_CP = f"""{_EIG}, {_ALPHA}, h AS (SELECT s.r, s.c, {CLIP('-(p1 * ln(p1 + 1e-12) + p2 * ln(p2 + 1e-12) + p3 * ln(p3 + 1e-12)) / ln(3)')} AS entropy, {CLIP('(p2 - p3) / (p2 + p3 + 1e-12)')} AS anisotropy, alpha FROM s JOIN al ON s.r = al.r AND s.c = al.c)"""
+
+
+@query("cloude_pottier", f"{_CP} SELECT {RC}, entropy, anisotropy, alpha, CAST(3 * CASE WHEN entropy < 0.5 THEN 0 WHEN entropy < 0.9 THEN 1 ELSE 2 END + CASE WHEN alpha < 42.5 THEN 1 WHEN alpha < 47.5 THEN 2 ELSE 3 END AS INTEGER) AS zone FROM h", "entropy anisotropy alpha", "cov")
 def _(c):
     t = P.cloude_pottier(P.coherency(c.cov, SHAPE, 3))
     return t.withColumn("zone", A.h_alpha_zone("entropy", "alpha"))
@@ -550,7 +557,16 @@ def _(c):
     return AG.fit_ols(AG.trim_mad(_cleaned(c), "d_agbd", 1.5), "d_hv", "d_agbd")
 
 
-@query("ci_band")  # its t quantile is computed on the driver
+# Student's quantile by its expansion about the normal one, good to 10 digits beyond some hundred degrees of freedom.
+_Z = 1.959963984540054
+_T = " + ".join(f"{sum(k * _Z**p for k, p in terms)!r} / ({d} * pow(n - 2, {i}))" for i, (d, terms) in enumerate(
+    [(1, [(1, 1)]), (4, [(1, 3), (1, 1)]), (96, [(5, 5), (16, 3), (3, 1)]), (384, [(3, 7), (19, 5), (17, 3), (-15, 1)])]))
+
+
+@query("ci_band", f"""WITH {_TRIM}, f AS (SELECT regr_slope(d_agbd, d_hv) AS slope, regr_intercept(d_agbd, d_hv) AS intercept, regr_sxx(d_agbd, d_hv) AS sxx, avg(d_hv) AS x_mean, count(*) AS n, min(d_hv) AS a, max(d_hv) AS b,
+        sqrt((1 - regr_r2(d_agbd, d_hv)) * regr_syy(d_agbd, d_hv) / regr_sxx(d_agbd, d_hv) / (count(*) - 2)) AS se FROM t),
+    g AS (SELECT CAST(i AS INTEGER) AS i, a + (b - a) * i / 199 AS x, intercept + slope * (a + (b - a) * i / 199) AS y, ({_T}) * se * sqrt(sxx / n + x_mean * x_mean + pow(a + (b - a) * i / 199 - x_mean, 2)) AS half FROM f, (SELECT unnest(range(200)) AS i))
+    SELECT i, x, y, y - half AS lower, y + half AS upper FROM g""", "x y lower upper", "pairs")
 def _(c):
     rows = AG.trim_mad(_cleaned(c), "d_agbd", 1.5)
     fit = AG.fit_ols(rows, "d_hv", "d_agbd")
