@@ -7,19 +7,21 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("lineitem", "orders", "customer", "supplier", "part", "nation", "region", "events", "embeddings")
-SIDE = 32
+#: An image has some 60 rows of its table in a pixel, so it grows with the table; {side} is its side.
+LEAST_SIDE = 32
 _A, _B = "62.83185307179586e0 * l_discount", "62.83185307179586e0 * l_tax"
 
-#: name -> SQL over tables in braces and over other relations by name.  {ms(x)} is epoch milliseconds.
+#: name -> SQL over tables in braces and over other relations by name.  {ms(x)} is epoch milliseconds, {side} an image's side.
 RELATIONS: dict[str, str] = {
-    "px": "SELECT CAST(l_orderkey % 32 AS INT) AS r, CAST(l_partkey % 32 AS INT) AS c, round(avg(l_extendedprice) / 1e5, 9) AS hh, round(avg(l_quantity) / 1e3, 9) AS hv, round(avg(l_extendedprice * (1 - l_discount)) / 1e5, 9) AS vv FROM {lineitem} GROUP BY 1, 2",
+    "dim": f"SELECT CAST(greatest({LEAST_SIDE}, floor(sqrt(count(*) / 60e0))) AS INT) AS n FROM {{lineitem}}",
+    "px": "SELECT CAST(l_orderkey % {side} AS INT) AS r, CAST(l_partkey % {side} AS INT) AS c, round(avg(l_extendedprice) / 1e5, 9) AS hh, round(avg(l_quantity) / 1e3, 9) AS hv, round(avg(l_extendedprice * (1 - l_discount)) / 1e5, 9) AS vv FROM {lineitem} GROUP BY 1, 2",
     "hole": "SELECT r, c, CASE WHEN (r * 7 + c * 3) % 29 = 0 THEN NULL ELSE hh END AS v FROM px",
-    "cube": "SELECT CAST(l_orderkey % 32 AS INT) AS r, CAST(l_partkey % 32 AS INT) AS c, CAST(month(l_shipdate) - 1 AS INT) AS t, CAST(month(l_shipdate) - 1 AS DOUBLE) * 30.4375e0 AS tm, CASE WHEN (l_orderkey % 32 + l_partkey % 32 + month(l_shipdate)) % 37 = 0 THEN NULL ELSE round(avg(l_extendedprice) / 1e5, 9) END AS v FROM {lineitem} GROUP BY 1, 2, 3, 4, (l_orderkey % 32 + l_partkey % 32 + month(l_shipdate)) % 37",
-    "slc": f"SELECT CAST(l_orderkey % 32 AS INT) AS r, CAST(l_partkey % 32 AS INT) AS c, round(avg(l_extendedprice * cos({_A})) / 1e5, 9) AS a_re, round(avg(l_extendedprice * sin({_A})) / 1e5, 9) AS a_im, round(avg(l_extendedprice * cos({_B})) / 1e5, 9) AS b_re, round(avg(l_extendedprice * sin({_B})) / 1e5, 9) AS b_im FROM {{lineitem}} GROUP BY 1, 2",
+    "cube": "SELECT CAST(l_orderkey % {side} AS INT) AS r, CAST(l_partkey % {side} AS INT) AS c, CAST(month(l_shipdate) - 1 AS INT) AS t, CAST(month(l_shipdate) - 1 AS DOUBLE) * 30.4375e0 AS tm, CASE WHEN (l_orderkey % {side} + l_partkey % {side} + month(l_shipdate)) % 37 = 0 THEN NULL ELSE round(avg(l_extendedprice) / 1e5, 9) END AS v FROM {lineitem} GROUP BY 1, 2, 3, 4, (l_orderkey % {side} + l_partkey % {side} + month(l_shipdate)) % 37",
+    "slc": f"SELECT CAST(l_orderkey % {{side}} AS INT) AS r, CAST(l_partkey % {{side}} AS INT) AS c, round(avg(l_extendedprice * cos({_A})) / 1e5, 9) AS a_re, round(avg(l_extendedprice * sin({_A})) / 1e5, 9) AS a_im, round(avg(l_extendedprice * cos({_B})) / 1e5, 9) AS b_re, round(avg(l_extendedprice * sin({_B})) / 1e5, 9) AS b_im FROM {{lineitem}} GROUP BY 1, 2",
     "cov": f"""SELECT r, c, round(avg(x1 * x1 + y1 * y1), 9) AS c11, round(avg(x2 * x2 + y2 * y2), 9) AS c22, round(avg(x3 * x3 + y3 * y3), 9) AS c33,
         round(avg(x1 * x2 + y1 * y2), 9) AS c12_re, round(avg(y1 * x2 - x1 * y2), 9) AS c12_im, round(avg(x1 * x3 + y1 * y3), 9) AS c13_re, round(avg(y1 * x3 - x1 * y3), 9) AS c13_im,
         round(avg(x2 * x3 + y2 * y3), 9) AS c23_re, round(avg(y2 * x3 - x2 * y3), 9) AS c23_im
-        FROM (SELECT CAST(l_orderkey % 32 AS INT) AS r, CAST(l_partkey % 32 AS INT) AS c, l_extendedprice / 1e5 * cos({_A}) AS x1, l_extendedprice / 1e5 * sin({_A}) AS y1,
+        FROM (SELECT CAST(l_orderkey % {{side}} AS INT) AS r, CAST(l_partkey % {{side}} AS INT) AS c, l_extendedprice / 1e5 * cos({_A}) AS x1, l_extendedprice / 1e5 * sin({_A}) AS y1,
         l_quantity / 1e2 * cos({_B}) AS x2, l_quantity / 1e2 * sin({_B}) AS y2, l_extendedprice * (1 - l_discount) / 1e5 * cos({_B}) AS x3, l_extendedprice * (1 - l_discount) / 1e5 * sin({_B}) AS y3 FROM {{lineitem}}) k GROUP BY r, c""",
     "shots": """SELECT o_orderkey AS id, (o_totalprice - floor(o_totalprice / 1000) * 1000) / 1000 * 0.05e0 AS lon, (7 * o_totalprice - floor(7 * o_totalprice / 977) * 977) / 977 * 0.05e0 AS lat,
         CAST(o_custkey % 2 AS INT) AS side, round(o_totalprice / 1000, 6) AS agbd, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 END AS quality, CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS degrade FROM {orders}""",
@@ -42,30 +44,37 @@ RELATIONS: dict[str, str] = {
 
 def _needs(name: str, seen: dict[str, None]) -> dict[str, None]:
     for other in RELATIONS:
-        if other != name and re.search(rf"\b(FROM|JOIN) {other}\b", RELATIONS[name]):
+        if other != name and (re.search(rf"\b(FROM|JOIN) {other}\b", RELATIONS[name]) or (other == "dim" and "{side}" in RELATIONS[name])):
             _needs(other, seen)
     seen[name] = None
     return seen
 
 
-def _render(sql: str, ms: str, table) -> str:
+def _render(sql: str, ms: str, side: str, table) -> str:
+    sql = sql.replace("{side}", side)
     sql = re.sub(r"\{ms\((\w+)\)\}", lambda m: ms.format(m[1]), sql)
     return re.sub(r"\{(\w+)\}", lambda m: table(m[1]), sql)
 
 
-def with_clause(*names: str) -> str:
-    """DuckDB: WITH RECURSIVE px AS (...), ... for the relations and what they rest on."""
+def with_clause(*names: str, raw: bool = False) -> str:
+    """DuckDB (or as written, if raw): WITH RECURSIVE px AS (...), ... for the relations and what they rest on."""
     need: dict[str, None] = {}
     for n in names:
         _needs(n, need)
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({_render(RELATIONS[n], '(epoch_us({}) // 1000)', str)})" for n in need)
+    if raw:
+        return ", ".join(RELATIONS[n] for n in need)
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({_render(RELATIONS[n], '(epoch_us({}) // 1000)', '(SELECT n FROM dim)', str)})" for n in need)
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def image_side(spark: SparkSession, sf_dir: str) -> int:
+    return spark.sql(_render(RELATIONS["dim"], "", "", lambda t: "{" + t + "}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet")).first()["n"]  # one row, from the files' footers
+
+
+def relation(spark: SparkSession, sf_dir: str, name: str, side: int) -> DataFrame:
     """Spark: the same relation over the parquet tables; pixel places are named row and col, values value."""
-    need = _needs(name, {})
-    used = {t for n in need for t in re.findall(r"\{(\w+)\}", RELATIONS[n])}
+    need = [n for n in _needs(name, {}) if n != "dim"]
+    used = {t for n in need for t in re.findall(r"\{(\w+)\}", RELATIONS[n])} - {"side"}
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
-    ctes = ", ".join(f"{n} AS ({_render(RELATIONS[n], 'unix_millis(CAST({} AS TIMESTAMP))', lambda t: '{' + t + '}')})" for n in need)
+    ctes = ", ".join(f"{n} AS ({_render(RELATIONS[n], 'unix_millis(CAST({} AS TIMESTAMP))', str(side), lambda t: '{' + t + '}')})" for n in need)
     df = spark.sql(f"WITH {ctes} SELECT * FROM {name}", **frames)
     return df.withColumnsRenamed({"r": "row", "c": "col", "v": "value", "tm": "time"})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,11 @@ from gridrel.operators import polsar as P
 from gridrel.operators import rgb, rules
 from gridrel.operators import window2d as W
 from gridrel.operators.quantiles import cut, quantiles
-from gridrel.plans.adapters import SIDE, relation, with_clause
+from gridrel.plans.adapters import RELATIONS, image_side, relation, with_clause
 from gridrel.sources import catalogue as C
 
-SHAPE = (SIDE, SIDE)
+#: SQL of an image's side.
+N = "(SELECT n FROM dim)"
 DIGITS = 6
 
 
@@ -29,8 +31,15 @@ class Context:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def shape(self) -> tuple[int, int]:
+        side = image_side(self.spark, self.sf_dir)
+        return side, side
+
     def __getattr__(self, name: str) -> DataFrame:
-        return relation(self.spark, self.sf_dir, name)
+        if name not in RELATIONS:
+            raise AttributeError(name)
+        return relation(self.spark, self.sf_dir, name, self.shape[0] if "{side}" in with_clause(name, raw=True) else 0)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -119,9 +128,9 @@ def _(c):
     return AG.histogram(c.px, "hh")
 
 
-@query("px_summary_crop", "SELECT count(*) AS n, avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) AS missing, min(v) AS lo, max(v) AS hi, avg(v) AS mean FROM hole WHERE r BETWEEN 8 AND 23 AND c BETWEEN 8 AND 23", "missing lo hi mean", "hole")
+@query("px_summary_crop", f"SELECT count(*) AS n, avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) AS missing, min(v) AS lo, max(v) AS hi, avg(v) AS mean FROM hole WHERE r - ({N} - 16) // 2 BETWEEN 0 AND 15 AND c - ({N} - 16) // 2 BETWEEN 0 AND 15", "missing lo hi mean", "hole")
 def _(c):
-    return PP.centre(c.hole, SHAPE, 16).agg(F.count("*").alias("n"), PP.missing_share("value").alias("missing"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"))
+    return PP.centre(c.hole, c.shape, 16).agg(F.count("*").alias("n"), PP.missing_share("value").alias("missing"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"))
 
 
 @query("px_bbox_window", f"SELECT {RC}, 425000 + (c + 0.5) * 30 AS x, 4515000 - (r + 0.5) * 30 AS y, hh FROM px WHERE 425000 + (c + 0.5) * 30 BETWEEN 425100 AND 425500 AND 4515000 - (r + 0.5) * 30 BETWEEN 4514400 AND 4514900", "x y hh", "px")
@@ -165,30 +174,30 @@ def _(c):
 
 # ---- blocks and windows ------------------------------------------------------------------------------------------
 
-@query("multilook", 'SELECT CAST(floor(r / 3) AS INTEGER) AS "row", CAST(floor(c / 2) AS INTEGER) AS "col", avg(v) AS value FROM hole WHERE r < 30 AND c < 32 GROUP BY 1, 2', "value", "hole")
+@query("multilook", f'SELECT CAST(floor(r / 3) AS INTEGER) AS "row", CAST(floor(c / 2) AS INTEGER) AS "col", avg(v) AS value FROM hole WHERE r < {N} // 3 * 3 AND c < {N} // 2 * 2 GROUP BY 1, 2', "value", "hole")
 def _(c):
-    return AG.multilook(c.hole, ["value"], SHAPE, (3, 2))
+    return AG.multilook(c.hole, ["value"], c.shape, (3, 2))
 
 
-@query("multilook_complex", """SELECT CAST(floor(r / 2) AS INTEGER) AS "row", CAST(floor(c / 2) AS INTEGER) AS "col", avg(CASE WHEN r % 9 <> 0 THEN a_re END) AS a_re, avg(CASE WHEN r % 9 <> 0 THEN a_im END) AS a_im FROM slc GROUP BY 1, 2""", "a_re a_im", "slc")
+@query("multilook_complex", f"""SELECT CAST(floor(r / 2) AS INTEGER) AS "row", CAST(floor(c / 2) AS INTEGER) AS "col", avg(CASE WHEN r % 9 <> 0 THEN a_re END) AS a_re, avg(CASE WHEN r % 9 <> 0 THEN a_im END) AS a_im FROM slc WHERE r < {N} // 2 * 2 AND c < {N} // 2 * 2 GROUP BY 1, 2""", "a_re a_im", "slc")
 def _(c):
-    return AG.multilook_complex(c.slc.withColumn("a_im", F.when(F.col("row") % 9 != 0, F.col("a_im"))), ["a"], SHAPE)
+    return AG.multilook_complex(c.slc.withColumn("a_im", F.when(F.col("row") % 9 != 0, F.col("a_im"))), ["a"], c.shape)
 
 
-@query("multilook_covariance", 'SELECT CAST(floor(r / 4) AS INTEGER) AS "row", CAST(floor(c / 4) AS INTEGER) AS "col", avg(c11) AS c11, avg(c22) AS c22, avg(c12_re) AS c12_re, avg(c12_im) AS c12_im FROM cov GROUP BY 1, 2', "c11 c22 c12_re c12_im", "cov")
+@query("multilook_covariance", f'SELECT CAST(floor(r / 4) AS INTEGER) AS "row", CAST(floor(c / 4) AS INTEGER) AS "col", avg(c11) AS c11, avg(c22) AS c22, avg(c12_re) AS c12_re, avg(c12_im) AS c12_im FROM cov WHERE r < {N} // 4 * 4 AND c < {N} // 4 * 4 GROUP BY 1, 2', "c11 c22 c12_re c12_im", "cov")
 def _(c):
-    return AG.multilook_covariance(c.cov.select("row", "col", "c11", "c22", "c12_re", "c12_im"), SHAPE, (4, 4))
+    return AG.multilook_covariance(c.cov.select("row", "col", "c11", "c22", "c12_re", "c12_im"), c.shape, (4, 4))
 
 
 def stencil_sql(source: str, aggs: str, size: int, mode: str) -> str:
     """The window by brute force: every pixel with every offset."""
-    lo, hi, n = -(size // 2), size - size // 2, SIDE
+    lo, hi, n = -(size // 2), size - size // 2, "a.side"
     at = {
-        "nearest": f"greatest(0, least({n - 1}, {{}}))", "reflect": f"CASE WHEN {{0}} < 0 THEN -({{0}}) - 1 WHEN {{0}} >= {n} THEN {2 * n - 1} - ({{0}}) ELSE {{0}} END",
+        "nearest": f"greatest(0, least({n} - 1, {{}}))", "reflect": f"CASE WHEN {{0}} < 0 THEN -({{0}}) - 1 WHEN {{0}} >= {n} THEN 2 * {n} - 1 - ({{0}}) ELSE {{0}} END",
         "wrap": f"(({{}} + {n}) % {n})", "truncate": "{}",
     }[mode]
     off = f"(SELECT unnest(range({lo}, {hi})) AS d)"
-    return f"SELECT a.r, a.c, {aggs} FROM {source} a CROSS JOIN {off} dr CROSS JOIN {off} dc JOIN {source} b ON b.r = {at.format('a.r + dr.d')} AND b.c = {at.format('a.c + dc.d')} GROUP BY a.r, a.c"
+    return f"SELECT a.r, a.c, {aggs} FROM (SELECT *, {N} AS side FROM {source}) a CROSS JOIN {off} dr CROSS JOIN {off} dc JOIN {source} b ON b.r = {at.format('a.r + dr.d')} AND b.c = {at.format('a.c + dc.d')} GROUP BY a.r, a.c"
 
 
 def full(e: str, size: int) -> str:
@@ -197,22 +206,22 @@ def full(e: str, size: int) -> str:
 
 @query("box_nearest", f"SELECT {RC}, m FROM ({stencil_sql('hole', full('b.v', 5) + ' AS m', 5, 'nearest')})", "m", "hole")
 def _(c):
-    return W.box_mean(c.hole, {"m": F.col("value")}, SHAPE, 5, "nearest")
+    return W.box_mean(c.hole, {"m": F.col("value")}, c.shape, 5, "nearest")
 
 
 @query("box_reflect", f"SELECT {RC}, m FROM ({stencil_sql('hole', full('b.v', 4) + ' AS m', 4, 'reflect')})", "m", "hole")
 def _(c):
-    return W.box_mean(c.hole, {"m": F.col("value")}, SHAPE, 4, "reflect")
+    return W.box_mean(c.hole, {"m": F.col("value")}, c.shape, 4, "reflect")
 
 
 @query("box_wrap", f"SELECT {RC}, m FROM ({stencil_sql('px', full('b.hh', 3) + ' AS m', 3, 'wrap')})", "m", "px")
 def _(c):
-    return W.box_mean(c.px, {"m": F.col("hh")}, SHAPE, 3, "wrap")
+    return W.box_mean(c.px, {"m": F.col("hh")}, c.shape, 3, "wrap")
 
 
 @query("enl", f"SELECT {RC}, m * m / greatest(q - m * m, 1e-10) AS enl FROM ({stencil_sql('px', 'avg(b.hh) AS m, avg(b.hh * b.hh) AS q, count(*) AS k', 7, 'nearest')})", "enl", "px")
 def _(c):
-    return W.estimate_enl(c.px, SHAPE, 7, "hh")
+    return W.estimate_enl(c.px, c.shape, 7, "hh")
 
 
 _LEE = stencil_sql("hole", "sum(b.v) / nullif(count(b.v), 0) AS m, sum(b.v * b.v) / nullif(count(b.v), 0) AS q", 5, "reflect")
@@ -221,23 +230,23 @@ _LEE = stencil_sql("hole", "sum(b.v) / nullif(count(b.v), 0) AS m, sum(b.v * b.v
 @query("lee_filter", f"""SELECT h.r AS "row", h.c AS "col", CASE WHEN v IS NOT NULL THEN m + greatest(q - m * m, 0) / (greatest(q - m * m, 0) + noise + 1e-10) * (v - m) END AS filtered
     FROM hole h JOIN ({_LEE}) w ON h.r = w.r AND h.c = w.c, (SELECT var_pop(v) AS noise FROM hole)""", "filtered", "hole")
 def _(c):
-    return W.lee_filter(c.hole, SHAPE)
+    return W.lee_filter(c.hole, c.shape)
 
 
 @query("lee_multilook", f"""SELECT CAST(floor(h.r / 2) AS INTEGER) AS "row", CAST(floor(h.c / 2) AS INTEGER) AS "col", avg(CASE WHEN v IS NOT NULL THEN m + greatest(q - m * m, 0) / (greatest(q - m * m, 0) + noise + 1e-10) * (v - m) END) AS filtered
-    FROM hole h JOIN ({_LEE}) w ON h.r = w.r AND h.c = w.c, (SELECT var_pop(v) AS noise FROM hole) GROUP BY 1, 2""", "filtered", "hole")
+    FROM hole h JOIN ({_LEE}) w ON h.r = w.r AND h.c = w.c, (SELECT var_pop(v) AS noise FROM hole) WHERE h.r < {N} // 2 * 2 AND h.c < {N} // 2 * 2 GROUP BY 1, 2""", "filtered", "hole")
 def _(c):
-    return AG.multilook(W.lee_filter(c.hole, SHAPE), ["filtered"], SHAPE)
+    return AG.multilook(W.lee_filter(c.hole, c.shape), ["filtered"], c.shape)
 
 
 def _neighbour(dr: int, dc: int, mode: str) -> str:
-    at = (lambda p: f"greatest(0, least(31, {p}))") if mode == "nearest" else (lambda p: f"(({p} + 32) % 32)")
+    at = (lambda p: f"greatest(0, least(p.side - 1, {p}))") if mode == "nearest" else (lambda p: f"(({p} + p.side) % p.side)")
     return f"(SELECT hh FROM px n WHERE n.r = {at(f'p.r + {dr}')} AND n.c = {at(f'p.c + {dc}')})"
 
 
 _PAIRS = [((0, -1), (0, 1)), ((-1, 1), (1, -1)), ((-1, 0), (1, 0)), ((-1, -1), (1, 1))]
 _REFINED = f"""WITH b AS ({stencil_sql('px', 'avg(b.hh) AS m, avg(b.hh * b.hh) AS q', 7, 'nearest')}),
-    n AS (SELECT p.r, p.c, hh, {', '.join(f"abs({_neighbour(*x, 'nearest')} + {_neighbour(*y, 'nearest')} - 2 * hh) AS g{i}, ({_neighbour(*x, 'wrap')} + {_neighbour(*y, 'wrap')}) / 2 AS w{i}" for i, (x, y) in enumerate(_PAIRS))} FROM px p),
+    n AS (SELECT p.r, p.c, hh, {', '.join(f"abs({_neighbour(*x, 'nearest')} + {_neighbour(*y, 'nearest')} - 2 * hh) AS g{i}, ({_neighbour(*x, 'wrap')} + {_neighbour(*y, 'wrap')}) / 2 AS w{i}" for i, (x, y) in enumerate(_PAIRS))} FROM (SELECT *, {N} AS side FROM px) p),
     v AS (SELECT *, greatest(q - m * m, 0) AS var FROM b), z AS (SELECT median(var) + 1e-10 AS noise FROM v),
     d AS (SELECT *, CASE least(g0, g1, g2, g3) WHEN g0 THEN w0 WHEN g1 THEN w1 WHEN g2 THEN w2 ELSE w3 END AS pick FROM n)
     SELECT d.r AS "row", d.c AS "col", 0.5 * (m + var / (var + noise) * (hh - m)) + 0.5 * pick AS filtered FROM d JOIN v ON d.r = v.r AND d.c = v.c, z"""
@@ -245,13 +254,13 @@ _REFINED = f"""WITH b AS ({stencil_sql('px', 'avg(b.hh) AS m, avg(b.hh * b.hh) A
 
 @query("refined_lee", _REFINED, "filtered", "px")
 def _(c):
-    return W.refined_lee(c.px, SHAPE, 7, "hh")
+    return W.refined_lee(c.px, c.shape, 7, "hh")
 
 
 @query("contrast_homogeneity", f"""SELECT {RC}, CASE WHEN own IS NOT NULL THEN sqrt(greatest(q - m * m, 0)) END AS contrast, CASE WHEN own IS NOT NULL THEN 1 / (1 + sqrt(greatest(q - m * m, 0)) / (m + 1e-10)) END AS homogeneity
     FROM ({stencil_sql('hole', 'avg(b.v) AS m, avg(b.v * b.v) AS q, any_value(a.v) AS own', 5, 'truncate')})""", "contrast homogeneity", "hole")
 def _(c):
-    return W.contrast_homogeneity(c.hole, SHAPE, 5)
+    return W.contrast_homogeneity(c.hole, c.shape, 5)
 
 
 @query("texture_disk", f"""WITH s AS (SELECT quantile_cont(hh, 0.02) AS lo, quantile_cont(hh, 0.98) AS hi FROM px),
@@ -261,7 +270,7 @@ def _(c):
     SELECT {RC}, -sum(n / total * log2(n / total)) AS entropy, sum(n * q / total) AS mean, sum(n * q * q / total) - pow(sum(n * q / total), 2) AS variance, CAST(max(q) - min(q) AS INTEGER) AS "range" FROM t GROUP BY r, c""",
     "entropy mean variance", "px")
 def _(c):
-    return W.texture(c.px, SHAPE, 7, 32, "hh")
+    return W.texture(c.px, c.shape, 7, 32, "hh")
 
 
 # ---- interferometry and polarimetry ------------------------------------------------------------------------------
@@ -272,7 +281,7 @@ _COH = stencil_sql("slc", "avg(b.a_re * b.b_re + b.a_im * b.b_im) AS x, avg(b.a_
 @query("interferogram", f"""SELECT s.r AS "row", s.c AS "col", a_re * b_re + a_im * b_im AS ifg_re, a_im * b_re - a_re * b_im AS ifg_im, sqrt(sqrt(a_re * a_re + a_im * a_im) * sqrt(b_re * b_re + b_im * b_im)) AS amplitude,
     {CLIP('sqrt(x * x + y * y) / greatest(sqrt(p * q), 1e-10)')} AS coherence FROM slc s JOIN ({_COH}) w ON s.r = w.r AND s.c = w.c""", "ifg_re ifg_im amplitude coherence", "slc")
 def _(c):
-    return W.coherence(c.slc, SHAPE, 5)
+    return W.coherence(c.slc, c.shape, 5)
 
 
 @query("displacement", f"SELECT {RC}, atan2(a_im, a_re) AS phase, -0.24 * atan2(a_im, a_re) / (4 * pi()) AS los, -0.24 * (atan2(a_im, a_re) - b_re) / (4 * pi()) / cos(0.6) AS vertical FROM slc", "phase los vertical", "slc")
@@ -288,12 +297,12 @@ _SMOOTH = stencil_sql("cov", ", ".join(f"avg(b.{t}) AS {t}" for t in P.TERMS), 3
 
 @query("coherency", f'SELECT r AS "row", c AS "col", * EXCLUDE (r, c) FROM ({_TSQL} FROM ({_SMOOTH}))', " ".join(P.COHERENCY), "cov")
 def _(c):
-    return P.coherency(c.cov, SHAPE, 3)
+    return P.coherency(c.cov, c.shape, 3)
 
 
 @query("three_component", f"""SELECT {RC}, greatest(t11 - (t33 - sqrt(t13_re * t13_re + t13_im * t13_im)), 0) AS surface, greatest(t22 - (t33 - sqrt(t13_re * t13_re + t13_im * t13_im)), 0) AS double_bounce, 2 * t33 AS volume FROM ({_TSQL} FROM ({_SMOOTH}))""", "surface double_bounce volume", "cov")
 def _(c):
-    return P.three_component(P.coherency(c.cov, SHAPE, 3))
+    return P.three_component(P.coherency(c.cov, c.shape, 3))
 
 
 _EIG = f"""WITH t AS ({_TSQL} FROM ({_SMOOTH})), q AS (SELECT *, (t11 + t22 + t33) / 3 AS q FROM t),
@@ -307,7 +316,7 @@ _EIG = f"""WITH t AS ({_TSQL} FROM ({_SMOOTH})), q AS (SELECT *, (t11 + t22 + t3
 
 @query("entropy_anisotropy", f"{_EIG} SELECT {RC}, {CLIP('-(p1 * ln(p1 + 1e-12) + p2 * ln(p2 + 1e-12) + p3 * ln(p3 + 1e-12)) / ln(3)')} AS entropy, {CLIP('(p2 - p3) / (p2 + p3 + 1e-12)')} AS anisotropy FROM s", "entropy anisotropy", "cov")
 def _(c):
-    return P.entropy_anisotropy(P.coherency(c.cov, SHAPE, 3))
+    return P.entropy_anisotropy(P.coherency(c.cov, c.shape, 3))
 
 
 # The dominant eigenvector's powers are in proportion to the diagonal of the adjugate of t - l1.
@@ -319,7 +328,7 @@ _CP = f"""{_EIG}, {_ALPHA}, h AS (SELECT s.r, s.c, {CLIP('-(p1 * ln(p1 + 1e-12)
 
 @query("cloude_pottier", f"{_CP} SELECT {RC}, entropy, anisotropy, alpha, CAST(3 * CASE WHEN entropy < 0.5 THEN 0 WHEN entropy < 0.9 THEN 1 ELSE 2 END + CASE WHEN alpha < 42.5 THEN 1 WHEN alpha < 47.5 THEN 2 ELSE 3 END AS INTEGER) AS zone FROM h", "entropy anisotropy alpha", "cov")
 def _(c):
-    t = P.cloude_pottier(P.coherency(c.cov, SHAPE, 3))
+    t = P.cloude_pottier(P.coherency(c.cov, c.shape, 3))
     return t.withColumn("zone", A.h_alpha_zone("entropy", "alpha"))
 
 
@@ -744,12 +753,13 @@ def _(c):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: pixels, block means, then dB and RFDI of each block."""
-    px = Context(spark, sf_dir).px
-    looks = AG.multilook(px, ["hh", "hv"], SHAPE, (2, 2))
+    c = Context(spark, sf_dir)
+    px = c.px
+    looks = AG.multilook(px, ["hh", "hv"], c.shape, (2, 2))
     return looks.select("row", "col", A.linear_to_db("hh").alias("hh_db"), A.linear_to_db("hv").alias("hv_db"), A.rfdi("hh", "hv").alias("rfdi"))
 
 
-@query("multilook_rfdi", 'SELECT "row", "col", 10 * log10(h) AS hh_db, 10 * log10(v) AS hv_db, greatest(-1.0, least(1.0, (h - v) / (h + v + 1e-10))) AS rfdi FROM (SELECT CAST(floor(r / 2) AS INTEGER) AS "row", CAST(floor(c / 2) AS INTEGER) AS "col", avg(hh) AS h, avg(hv) AS v FROM px GROUP BY 1, 2)', "hh_db hv_db rfdi", "px")
+@query("multilook_rfdi", f'SELECT "row", "col", 10 * log10(h) AS hh_db, 10 * log10(v) AS hv_db, greatest(-1.0, least(1.0, (h - v) / (h + v + 1e-10))) AS rfdi FROM (SELECT CAST(floor(r / 2) AS INTEGER) AS "row", CAST(floor(c / 2) AS INTEGER) AS "col", avg(hh) AS h, avg(hv) AS v FROM px WHERE r < {N} // 2 * 2 AND c < {N} // 2 * 2 GROUP BY 1, 2)', "hh_db hv_db rfdi", "px")
 def _(c):
     return entry(c.spark, c.sf_dir)
 
