@@ -27,8 +27,8 @@ def _ranked(cells: DataFrame, by: list[str], order: str, want: DataFrame) -> lis
     return hit.withColumn("rank", F.col("rank") - F.col("upto") + F.col("n")).collect()
 
 
-def quantiles(df: DataFrame, values: dict[str, Column], probs: list[float] | dict[str, list[float]], direct: int = DIRECT) -> dict[str, list[float | None]]:
-    """name -> its values' quantiles at probs, linear between ranks; None for a column without values.
+def around(df: DataFrame, values: dict[str, Column], probs: list[float] | dict[str, list[float]], direct: int = DIRECT) -> dict[str, list[tuple[float, float, float] | None]]:
+    """name -> for each of probs the values at the ranks below and above it and its place between them (0 to 1); None for a column without values.
 
     NULL is no value; NaN is greater than all others.  Each round is a job that reads df, counts
     cells in every task and moves only the counts: first some 300 cells a decade of values, at
@@ -91,14 +91,22 @@ def quantiles(df: DataFrame, values: dict[str, Column], probs: list[float] | dic
         path, fields = [*path, part], [*fields, StructField(part, LongType())]
         open_ = [(r.k, r.j, r.which, r["rank"], *[r[p] for p in path], r.n, r.lo, r.hi) for r in _ranked(counted, by, part, want)]
 
-    def value(i: int, j: int) -> float | None:
+    def ends(i: int, j: int) -> tuple[float, float, float] | None:
         if (i, j) not in place:
             return None
         at, got = place[i, j], found[i, j]
-        a, b = got[math.floor(at)], got[math.ceil(at)]
-        return a if a == b else (math.ceil(at) - at) * a + (at - math.floor(at)) * b
+        return got[math.floor(at)], got[math.ceil(at)], at - math.floor(at)
+
+    return {k: [ends(i, j) for j in range(len(wanted[i]))] for i, k in enumerate(names)}
+
+
+def quantiles(df: DataFrame, values: dict[str, Column], probs: list[float] | dict[str, list[float]], direct: int = DIRECT) -> dict[str, list[float | None]]:
+    """name -> its values' quantiles at probs, linear between ranks; None for a column without values."""
 
-    return {k: [value(i, j) for j in range(len(wanted[i]))] for i, k in enumerate(names)}
+    def value(a: float, b: float, part: float) -> float:
+        return a if a == b else (1 - part) * a + part * b
+
+    return {k: [None if x is None else value(*x) for x in found] for k, found in around(df, values, probs, direct).items()}
 
 
 def cut(value: float | None) -> Column:
@@ -109,3 +117,13 @@ def cut(value: float | None) -> Column:
 def median(df: DataFrame, value: str | Column) -> float | None:
     """The exact median of a column, None without values."""
     return quantiles(df, {"v": F.col(value) if isinstance(value, str) else value}, [0.5])["v"][0]
+
+
+def off_median(df: DataFrame, value: str) -> Column:
+    """Distance of a column's values beyond the two in the middle of df, 0 for both of them.
+
+    It orders rows as their distance from the median does, but where an even number of rows has
+    two in the middle, equally far from it, no rounding of that distance tells them apart.
+    """
+    a, b, _ = around(df, {"v": F.col(value)}, [0.5])["v"][0] or (None, None, None)
+    return F.when(F.col(value).isNotNull(), F.greatest(cut(a) - F.col(value), F.col(value) - cut(b), F.lit(0.0)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridrel.functions.algebra import FULL_POWER_BEAMS, dn_to_db, year_of
-from gridrel.operators.quantiles import cut, median, quantiles
+from gridrel.operators.quantiles import cut, off_median, quantiles
 
 COMPLETE = ["pre_agbd", "post_agbd", "pre_HH_db", "pre_HV_db", "post_HH_db", "post_HV_db"]
 
@@ -110,7 +110,7 @@ def stratified_sample(df: DataFrame, fit: DataFrame, x: str, y: str, id_: str, n
     picks: list[tuple[str, int]] = []
     for name, rule in strata.items():
         some = rows.where(rule & ~F.col("id").isin([i for _, i in picks]) if picks else rule)
-        best = some.agg(F.min(F.struct(F.abs(F.col("res") - cut(median(some, "res"))).alias("d"), "id")).alias("b")).first()  # one row
+        best = some.agg(F.min(F.struct(off_median(some, "res").alias("d"), "id")).alias("b")).first()  # one row
         if best.b is not None:
             picks.append((name, best.b.id))
     fixed = df.sparkSession.createDataFrame(picks, f"stratum string, id {rows.schema['id'].dataType.simpleString()}")
@@ -122,7 +122,7 @@ def stratified_sample(df: DataFrame, fit: DataFrame, x: str, y: str, id_: str, n
 
 def median_row(df: DataFrame, value: str, id_: str) -> DataFrame:
     """The row nearest the median, ties to the smaller id."""
-    return df.orderBy(F.abs(F.col(value) - cut(median(df, value))), id_).limit(1)
+    return df.orderBy(off_median(df, value).asc_nulls_last(), id_).limit(1)
 
 
 def split_tiles(tiles: DataFrame, factor: int = 2) -> DataFrame:

@@ -366,6 +366,18 @@ def test_stratified_sample_against_numpy(spark):
         assert len(set(got.values())) == 8 and not set(got.values()) & set(exclude or [])
 
 
+def test_two_middle_rows_tie_whatever_the_rounding(spark):
+    """0.1 and 0.3 lie equally far from 0.2; in doubles 0.3 is nearer."""
+    rows = [(1, -10.0, 0.1), (2, -9.0, 0.3), *[(i, float(i), float(i)) for i in range(3, 11)]]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    fit = spark.createDataFrame([(0.0, 0.0)], "slope double, intercept double")
+    got = {r.stratum: r.id for r in rules.stratified_sample(df, fit, "x", "y", "id", 1).collect()}
+    assert got["signal"] == 1
+    few = spark.createDataFrame([(2, 0.3), (1, 0.1), (0, None)], "id long, v double")
+    assert rules.median_row(few, "v", "id").first().id == 1
+    assert rules.median_row(few.where("id = 0"), "v", "id").first().id == 0
+
+
 def test_masks(spark):
     df = spark.createDataFrame([(1, 0, 20, 4, 10.0), (1, 1, 22, 3, 10.0), (0, 0, 19, 5, 70.0), (None, 0, None, 6, 0.0)], "quality int, degrade int, year int, scl int, cloud double")
     got = df.select(PP.good_shot().alias("a"), PP.lost_forest("year").alias("b"), PP.clear_pixel("scl", "cloud").alias("c")).collect()
