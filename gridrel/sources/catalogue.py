@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridrel.functions.algebra import col
@@ -68,13 +68,26 @@ def exact_or_nearest(targets: DataFrame, scenes: DataFrame, tolerance: int) -> D
 
     targets: target_id, ms, pass, path, of which a null pass or path admits any; scenes: scene_id,
     scene_ms, scene_pass, scene_path.  A target without a time has no scene.
+
+    Scenes are put in buckets of time as wide as the window, under each pass and path that admits
+    them.  A target asks three times for the first scene of a bucket from some time on: from its own
+    time, from the window's start, and from the next bucket's start.  A running value over the
+    bucket, from its end to its start, answers, so no target meets the scenes of its window one by one.
     """
-    fits = (F.col("path").isNull() | (F.col("path") == F.col("scene_path"))) & (F.col("pass").isNull() | (F.col("pass") == F.col("scene_pass")))
-    exact = targets.join(scenes, F.col("ms") == F.col("scene_ms")).where(fits).groupBy("target_id").agg(F.min("scene_id").alias("exact_id"))
-    near = targets.withColumn("__b", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.floor(F.col("ms") / tolerance) + k)))
-    near = near.join(scenes.withColumn("__b", F.floor(F.col("scene_ms") / tolerance)), "__b").where(fits & (F.col("scene_ms") - F.col("ms") >= -tolerance) & (F.col("scene_ms") - F.col("ms") < tolerance))
-    near = near.groupBy("target_id").agg(F.min(F.struct("scene_ms", "scene_id"))["scene_id"].alias("near_id"))
-    return targets.join(exact, "target_id", "left").join(near, "target_id", "left").select("target_id", F.coalesce("exact_id", "near_id").alias("scene_id"), F.col("exact_id").isNotNull().alias("is_exact"))
+    width = 2 * tolerance
+    either = lambda name: (F.col(name), F.lit(None).cast(scenes.schema[name].dataType))
+    ways = F.array_distinct(F.array(*[F.struct(a.alias("pass"), b.alias("path")) for a in either("scene_pass") for b in either("scene_path")]))
+    s = scenes.where("scene_ms is not null and scene_id is not null").select("scene_id", "scene_ms", F.explode(ways).alias("w"))
+    s = s.select("w.pass", "w.path", F.col("scene_ms").alias("__at"), "scene_ms", "scene_id")
+    after = (F.floor((F.col("ms") - tolerance) / width) + 1) * width
+    asked = F.array(*[F.struct(F.lit(k == 0).alias("exact"), at.cast("long").alias("at")) for k, at in enumerate((F.col("ms"), F.col("ms") - tolerance, after))])
+    t = targets.where("ms is not null").select("target_id", "ms", "pass", "path", F.explode(asked).alias("q"))
+    rows = s.unionByName(t.select("pass", "path", F.col("q.at").alias("__at"), "target_id", "ms", F.col("q.exact").alias("exact")), allowMissingColumns=True)
+    back = Window.partitionBy("pass", "path", "__b").orderBy(F.desc("__at"), F.desc_nulls_last("scene_id")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__b", F.floor(F.col("__at") / width)).withColumn("found_ms", F.last("scene_ms", True).over(back)).withColumn("found_id", F.last("scene_id", True).over(back))
+    hit = rows.where(F.when(F.col("exact"), F.col("found_ms") == F.col("ms")).otherwise(F.col("found_ms") < F.col("ms") + tolerance))
+    hit = hit.groupBy("target_id").agg(F.min(F.when(F.col("exact"), F.col("found_id"))).alias("exact_id"), F.min(F.when(~F.col("exact"), F.struct("found_ms", "found_id")))["found_id"].alias("near_id"))
+    return targets.join(hit, "target_id", "left").select("target_id", F.coalesce("exact_id", "near_id").alias("scene_id"), F.col("exact_id").isNotNull().alias("is_exact"))
 
 
 def dataset_path(product: str, frequency: str, layer: str, polarization: str = "HH", posting: int | None = None) -> str:

@@ -90,6 +90,26 @@ def test_exact_or_nearest_keeps_pass_and_path(spark):
     assert got == {1: (10, True), 2: (9, True), 3: (20, False), 4: (None, False), 5: (None, False), 6: (None, False)}
 
 
+def test_exact_or_nearest_against_brute_force(spark):
+    """Negative times, nulls, repeated times, and no operator that makes a row of every scene in a target's window."""
+    rng = np.random.default_rng(3)
+    some = lambda values, k: [None if v == len(values) else values[v] for v in rng.integers(0, len(values) + 1, k)]
+    tt = list(zip(range(300), rng.integers(-3000, 3000, 300).tolist(), some(["A", "D"], 300), some([1, 2, 3], 300), strict=True))
+    ss = list(zip(range(1000, 1300), (rng.integers(-300, 300, 300) * 10).tolist(), some(["A", "D"], 300), some([1, 2, 3], 300), strict=True))
+    ss += [(i + 1000, *rest) for i, *rest in ss]
+    t, s = spark.createDataFrame(tt, "target_id long, ms long, pass string, path int"), spark.createDataFrame(ss, "scene_id long, scene_ms long, scene_pass string, scene_path int")
+    want = {}
+    for i, ms, p, q in tt:
+        fit = [x for x in ss if (p is None or p == x[2]) and (q is None or q == x[3])]
+        exact = [x[0] for x in fit if x[1] == ms]
+        near = [(x[1], x[0]) for x in fit if ms - 100 <= x[1] < ms + 100]
+        want[i] = (min(exact), True) if exact else (min(near)[1] if near else None, False)
+    got = C.exact_or_nearest(t, s, 100)
+    assert {r.target_id: (r.scene_id, r.is_exact) for r in got.collect()} == want and len({v[1] for v in want.values()}) == 2
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert len(joins) == 1 and "LeftOuter" in joins[0]
+
+
 FAKE = """
 import pickle
 
