@@ -218,6 +218,48 @@ def test_distance_join_against_brute_force(spark):
     assert J.distance_join(df.where("id < 0"), df, 60.0).count() == 0
 
 
+def moved(spark, df):
+    """(records, bytes) that a run of df shuffles."""
+    store, seen = spark.sparkContext._jsc.sc(), set()
+
+    def stages():
+        store.listenerBus().waitUntilEmpty(60000)
+        new = spark.sparkContext._jvm.java.util.ArrayList
+        it = store.statusStore().stageList(new(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), new())
+        return [it.apply(i) for i in range(it.size())]
+
+    seen = {s.stageId() for s in stages()}
+    df.write.format("noop").mode("overwrite").save()
+    new = [s for s in stages() if s.stageId() not in seen]
+    return sum(s.shuffleWriteRecords() for s in new), sum(s.shuffleWriteBytes() for s in new)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_count_matches_moves_totals_not_pairs(spark, no_broadcast):
+    df = spark.createDataFrame([(i, 0.00001 * (i % 7), 0.00001 * (i % 5)) for i in range(800)], "id long, lon double, lat double")
+    pairs = J.distance_join(df.where("id < 400"), df.where("id >= 400"), 25.0)  # all 160,000
+    got = {r.pre_id: (r.n, r.ids, r.nearest) for r in J.count_matches(pairs, "pre_id", {"ids": "post_id"}).collect()}
+    arrays = {r.pre_id: r.matches for r in J.group_matches(pairs, "pre_id", ["post_id"]).collect()}
+    assert got == {k: (len(m), sum(x.post_id for x in m), m[0].distance_m) for k, m in arrays.items()} and {v[0] for v in got.values()} == {400}
+
+
+def test_grouped_matches_moves_no_pairs(spark, no_broadcast, tmp_path):
+    """Orders of two prices: every left row pairs with every right row of its price."""
+    from gridrel.plans.queries import REGISTRY, Context
+
+    rows = spark.range(2000).selectExpr("id * 91 + 1 AS o_orderkey", "id AS o_custkey", "CAST(2000 + floor(id / 2) % 2 AS DOUBLE) AS o_totalprice")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    c = Context(spark, str(tmp_path))
+    assert REGISTRY["distance_join"].run(c).count() == 2 * 500 * 500
+    assert moved(spark, REGISTRY["grouped_matches"].run(c))[1] < 250_000, "half a byte a pair"
+
+
 def test_as_of_keeps_every_target_and_breaks_ties(spark):
     t = spark.createDataFrame([(1, "a", 100), (2, "a", 10_000), (3, None, 5)], "target_id long, k string, ms long")
     s = spark.createDataFrame([(9, "a", 90), (8, "a", 110), (7, "a", 150)], "scene_id long, k string, scene_ms long")
