@@ -241,6 +241,22 @@ def no_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_distance_join_copies_a_row_to_four_cells_at_most(spark, no_broadcast):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-0.01, 0.01, (2000, 2)))], "id long, lon double, lat double")
+    records, _ = moved(spark, J.distance_join(df.where("id < 1000"), df.where("id >= 1000"), 25.0))
+    assert 1000 < records < 1000 + 4 * 1000 + 100
+
+
+def test_distance_join_at_cell_borders(spark):
+    """Points on the borders of cells of either size, of which many lie at the very distance."""
+    step = 1 / A.M_LAT  # a metre
+    pts = [(0.0, k * 12.5 * step) for k in range(-20, 21)] + [(0.0, k * 26.25 * step) for k in range(-8, 9)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "id long, lon double, lat double")
+    got = {(r.pre_id, r.post_id) for r in J.distance_join(df, df, 25.000001).collect()}
+    assert got == {(i, j) for i, p in enumerate(pts) for j, q in enumerate(pts) if abs(p[1] - q[1]) * A.M_LAT <= 25.000001}
+
+
 def test_count_matches_moves_totals_not_pairs(spark, no_broadcast):
     df = spark.createDataFrame([(i, 0.00001 * (i % 7), 0.00001 * (i % 5)) for i in range(800)], "id long, lon double, lat double")
     pairs = J.distance_join(df.where("id < 400"), df.where("id >= 400"), 25.0)  # all 160,000
