@@ -143,11 +143,16 @@ def h_alpha_zone(entropy, alpha) -> Column:
     return F.when(h.isNotNull() & a.isNotNull(), 3 * row + place)
 
 
-def human_size(n) -> Column:
+def human_size(n, unit: str | None = None) -> Column:
+    """Bytes to one decimal in the largest unit that is at most their number (B below it), or in the unit named."""
     n = col(n).cast("double")
-    out = F.format_string("%.1f TB", F.bround(n / 1024.0**4, 1))
-    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(n < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**power, 1))).otherwise(out)
+    text = lambda power, name: F.format_string(f"%.1f {name}", F.bround(n / 1024.0**power, 1))
+    units = ("B", "KB", "MB", "GB", "TB")
+    if unit is not None:
+        return text(units.index(unit), unit)
+    out = text(4, "TB")
+    for power in (3, 2, 1, 0):
+        out = F.when(n < 1024.0 ** (power + 1), text(power, units[power])).otherwise(out)
     return out
 
 

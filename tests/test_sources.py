@@ -82,6 +82,20 @@ def test_links_sizes_and_names(spark):
     assert [product.human_size(n) for n in (10, 1536, 3 << 20, 5 << 40)] == ["10.0 B", "1.5 KB", "3.0 MB", "5.0 TB"]
 
 
+def test_sizes_in_the_query_s_unit(spark, tmp_path):
+    """The query names KB whatever the size, as its SQL does; the operator by itself goes on to MB, as the reference does."""
+    from gridrel.functions import algebra as A
+    from gridrel.plans.queries import REGISTRY, Context
+
+    spark.range(3, 3000, 100).selectExpr("explode(sequence(id, id + 96 * 300, 300)) AS p_partkey", "1 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    row = REGISTRY["subset_size"].run(Context(spark, str(tmp_path))).first()
+    bytes_ = sum((k % 100 + 1) * 64 * (2, 8, 4)[k % 3] for i in range(3, 3000, 100) for k in range(i, i + 96 * 300 + 1, 300))
+    assert bytes_ > 1 << 20
+    assert (row.bytes, row.human) == (bytes_, f"{bytes_ / 1024:.1f} KB")
+    big = spark.createDataFrame([(2_000_000,)], "n long")
+    assert tuple(big.select(A.human_size("n"), A.human_size("n", "KB"), A.human_size("n", "B")).first()) == ("1.9 MB", "1953.1 KB", "2000000.0 B")
+
+
 def test_exact_or_nearest_keeps_pass_and_path(spark):
     t = spark.createDataFrame([(1, 1000, "A", 5), (2, 1000, None, None), (3, 5000, "A", 5), (4, 5000, "D", 5), (5, 9000, "A", None), (6, None, "A", 5)], "target_id long, ms long, pass string, path int")
     s = spark.createDataFrame([(10, 1000, "A", 5), (9, 1000, "D", 5), (20, 4900, "A", 5), (21, 4950, "A", 6), (22, 5100, "D", 5), (30, 9100, "A", 7), (31, 9099, "D", 7)], "scene_id long, scene_ms long, scene_pass string, scene_path int")
